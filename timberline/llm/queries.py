@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..runtime import table
-from . import leaks, tokens, truncation
+from . import leaks, percentiles, split, tokens, truncation
 
 
 def p7_ids(spark, sf_dir):
@@ -22,5 +24,62 @@ def p9_rates(spark, sf_dir):
     return truncation.truncation_rates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found, "p9_rates": p9_rates}
-SQL: dict[str, str] = {}
+def p1_found(spark, sf_dir):
+    rows = split.scan_positions(table(spark, sf_dir, "las"), table(spark, sf_dir, "scans"))
+    b = split.natural_boundaries(rows)
+    return b.select(F.col("item").alias("scan_id"), "point_a", "point_b")
+
+
+def p1_pieces(spark, sf_dir):
+    rows = split.scan_positions(table(spark, sf_dir, "las"), table(spark, sf_dir, "scans"))
+    return split.cut_pieces(rows).withColumnRenamed("item", "scan_id")
+
+
+def p6_found(spark, sf_dir):
+    return percentiles.striking_trees(table(spark, sf_dir, "las"))
+
+
+def p6_percentiles(spark, sf_dir):
+    p = percentiles.tree_percentiles(table(spark, sf_dir, "las"), [0.05, 0.5, 0.95])
+    return p.select("treeID", "measure", "n", "p", F.round("value", 6).alias("value"))
+
+
+def p6_by_day(spark, sf_dir):
+    p = percentiles.tree_percentiles(table(spark, sf_dir, "las"), [0.25, 0.75], by_day=True)
+    return p.select("treeID", "measure", "n", "p", F.round("value", 6).alias("value"))
+
+
+QUERIES = {
+    "p1_found": p1_found, "p1_pieces": p1_pieces,
+    "p6_found": p6_found, "p6_percentiles": p6_percentiles, "p6_by_day": p6_by_day,
+    "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found, "p9_rates": p9_rates,
+}
+
+_USABLE = """usable AS (
+  SELECT point_id, min(scan_id) AS scan_id, min(X) AS x, min(Y) AS y, min(Z) AS z, min("treeID") AS "treeID", min(verticality) AS verticality
+  FROM las
+  WHERE X IS NOT NULL AND Y IS NOT NULL AND Z IS NOT NULL AND NOT isnan(X) AND NOT isnan(Y) AND NOT isnan(Z)
+    AND (Classification IS NULL OR Classification <> 7) AND point_id IS NOT NULL
+  GROUP BY point_id)"""
+_MEASURES = f"""{_USABLE},
+long AS (SELECT "treeID", 'Z' AS measure, z AS v FROM usable WHERE "treeID" IS NOT NULL
+  UNION ALL SELECT "treeID", 'verticality', verticality FROM usable WHERE "treeID" IS NOT NULL AND verticality IS NOT NULL AND NOT isnan(verticality))"""
+
+
+def _percentile_sql(ps: list[float]) -> str:
+    parts = [f"SELECT \"treeID\", measure, count(*) AS n, {p}::DOUBLE AS p, round(quantile_cont(v, {p}), 6) AS value FROM long GROUP BY \"treeID\", measure" for p in ps]
+    return f"WITH {_MEASURES}\n" + "\nUNION ALL ".join(parts)
+
+
+SQL: dict[str, str] = {
+    "p1_found": f"""WITH {_USABLE},
+placed AS (SELECT u.scan_id, CASE WHEN s.axis = 'X' THEN u.x ELSE u.y END AS pos, u.point_id, count(*) OVER (PARTITION BY u.scan_id) AS n FROM usable u JOIN scans s ON u.scan_id = s.scan_id),
+places AS (SELECT scan_id, pos, min(point_id) AS id FROM placed WHERE n > 400 GROUP BY scan_id, pos),
+steps AS (SELECT scan_id, id, lag(id) OVER w AS before_id, round(pos - lag(pos) OVER w, 6) AS step FROM places WINDOW w AS (PARTITION BY scan_id ORDER BY pos))
+SELECT scan_id, least(id, before_id) AS point_a, greatest(id, before_id) AS point_b FROM steps WHERE step >= 1.0""",
+    "p6_found": f"""WITH {_MEASURES}
+SELECT "treeID", measure FROM long GROUP BY "treeID", measure
+HAVING count(*) >= 30 AND CASE WHEN measure = 'verticality' THEN round(quantile_cont(v, 0.5), 9) >= 0.70 ELSE round(quantile_cont(v, 0.95) - quantile_cont(v, 0.5), 9) >= 12 END""",
+    "p6_percentiles": _percentile_sql([0.05, 0.5, 0.95]),
+    "p6_by_day": _percentile_sql([0.25, 0.75]),
+}
