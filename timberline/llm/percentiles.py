@@ -73,10 +73,8 @@ def select_percentiles(blocks: DataFrame, by: list[str], percentiles: list[float
         pivots = work.put("pivots", ranked.where(F.col("sum") * 2 >= F.col("all")).groupBy(*key).agg(F.min("pivot").alias("pivot")))
         asked = broadcast_if_small(open_.select(*key, "lo", "hi").join(pivots, key), MAX_BROADCAST_ROWS)
         seen = blocks.join(asked, by).select(*key, "pivot", _active().alias("act"))
-        counts = seen.groupBy(*key).agg(
-            F.first("pivot").alias("pivot"), F.sum(F.size("act")).alias("m"),
-            F.sum(F.size(F.filter("act", lambda x: x < F.col("pivot")))).alias("less"), F.sum(F.size(F.filter("act", lambda x: x <= F.col("pivot")))).alias("upto"),
-        )
+        seen = seen.select(*key, "pivot", F.size("act").alias("m"), F.size(F.filter("act", lambda x: x < F.col("pivot"))).alias("less"), F.size(F.filter("act", lambda x: x <= F.col("pivot"))).alias("upto"))
+        counts = seen.groupBy(*key).agg(F.max("pivot").alias("pivot"), *[F.sum(c).alias(c) for c in ("m", "less", "upto")])
         s = state.join(counts, key, "left")
         left, right = F.col("k") < F.col("less"), F.col("k") >= F.col("upto")
         state = work.put("state", s.select(
