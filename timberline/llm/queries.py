@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import leaks, percentiles, split, tokens, truncation
+from . import leaks, neighbors, percentiles, split, tokens, truncation
 
 
 def p7_ids(spark, sf_dir):
@@ -35,6 +35,14 @@ def p1_pieces(spark, sf_dir):
     return split.cut_pieces(rows).withColumnRenamed("item", "scan_id")
 
 
+def p5_found(spark, sf_dir):
+    return neighbors.nearest_pairs(neighbors.slice_vectors(table(spark, sf_dir, "las")))
+
+
+def p5_search(spark, sf_dir):
+    return neighbors.search_slice(table(spark, sf_dir, "las"))
+
+
 def p6_found(spark, sf_dir):
     return percentiles.striking_trees(table(spark, sf_dir, "las"))
 
@@ -51,6 +59,7 @@ def p6_by_day(spark, sf_dir):
 
 QUERIES = {
     "p1_found": p1_found, "p1_pieces": p1_pieces,
+    "p5_found": p5_found, "p5_search": p5_search,
     "p6_found": p6_found, "p6_percentiles": p6_percentiles, "p6_by_day": p6_by_day,
     "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found, "p9_rates": p9_rates,
 }
@@ -77,6 +86,10 @@ placed AS (SELECT u.scan_id, CASE WHEN s.axis = 'X' THEN u.x ELSE u.y END AS pos
 places AS (SELECT scan_id, pos, min(point_id) AS id FROM placed WHERE n > 400 GROUP BY scan_id, pos),
 steps AS (SELECT scan_id, id, lag(id) OVER w AS before_id, round(pos - lag(pos) OVER w, 6) AS step FROM places WINDOW w AS (PARTITION BY scan_id ORDER BY pos))
 SELECT scan_id, least(id, before_id) AS point_a, greatest(id, before_id) AS point_b FROM steps WHERE step >= 1.0""",
+    "p5_found": f"""WITH {_USABLE},
+v AS (SELECT point_id AS id, CAST(round(x * 1000) AS BIGINT) AS x, CAST(round(y * 1000) AS BIGINT) AS y, CAST(round(z * 1000) AS BIGINT) AS z FROM usable WHERE round(z, 6) BETWEEN 1.1 AND 1.6),
+d AS (SELECT a.id AS a, b.id AS b, row_number() OVER (PARTITION BY a.id ORDER BY (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z), b.id) AS r FROM v a JOIN v b ON a.id <> b.id)
+SELECT DISTINCT least(a, b) AS point_a, greatest(a, b) AS point_b FROM d WHERE r <= 3""",
     "p6_found": f"""WITH {_MEASURES}
 SELECT "treeID", measure FROM long GROUP BY "treeID", measure
 HAVING count(*) >= 30 AND CASE WHEN measure = 'verticality' THEN round(quantile_cont(v, 0.5), 9) >= 0.70 ELSE round(quantile_cont(v, 0.95) - quantile_cont(v, 0.5), 9) >= 12 END""",
