@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import leaks, neighbors, percentiles, split, tokens, truncation
+from . import clusters, leaks, neighbors, percentiles, split, tokens, truncation
 
 
 def p7_ids(spark, sf_dir):
@@ -35,6 +35,14 @@ def p1_pieces(spark, sf_dir):
     return split.cut_pieces(rows).withColumnRenamed("item", "scan_id")
 
 
+def p3_found(spark, sf_dir):
+    return clusters.unlabelled_groups(table(spark, sf_dir, "las")).select("group_id", "point_id")
+
+
+def p3_groups(spark, sf_dir):
+    return clusters.describe_groups(table(spark, sf_dir, "las"))
+
+
 def p5_found(spark, sf_dir):
     return neighbors.nearest_pairs(neighbors.slice_vectors(table(spark, sf_dir, "las")))
 
@@ -59,6 +67,7 @@ def p6_by_day(spark, sf_dir):
 
 QUERIES = {
     "p1_found": p1_found, "p1_pieces": p1_pieces,
+    "p3_found": p3_found, "p3_groups": p3_groups,
     "p5_found": p5_found, "p5_search": p5_search,
     "p6_found": p6_found, "p6_percentiles": p6_percentiles, "p6_by_day": p6_by_day,
     "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found, "p9_rates": p9_rates,
@@ -86,6 +95,13 @@ placed AS (SELECT u.scan_id, CASE WHEN s.axis = 'X' THEN u.x ELSE u.y END AS pos
 places AS (SELECT scan_id, pos, min(point_id) AS id FROM placed WHERE n > 400 GROUP BY scan_id, pos),
 steps AS (SELECT scan_id, id, lag(id) OVER w AS before_id, round(pos - lag(pos) OVER w, 6) AS step FROM places WINDOW w AS (PARTITION BY scan_id ORDER BY pos))
 SELECT scan_id, least(id, before_id) AS point_a, greatest(id, before_id) AS point_b FROM steps WHERE step >= 1.0""",
+    "p3_found": f"""WITH RECURSIVE {_USABLE},
+v AS (SELECT point_id AS id, CAST(round(x * 1000) AS BIGINT) AS x, CAST(round(y * 1000) AS BIGINT) AS y, CAST(round(z * 1000) AS BIGINT) AS z FROM usable WHERE "treeID" IS NULL),
+link AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON b.x BETWEEN a.x - 801 AND a.x + 801 AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) <= 640800),
+reach(a, b) AS (SELECT id, id FROM v UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+named AS (SELECT b AS point_id, min(a) AS group_id FROM reach GROUP BY b),
+kept AS (SELECT group_id FROM named GROUP BY group_id HAVING count(*) >= 5)
+SELECT group_id, point_id FROM named WHERE group_id IN (SELECT group_id FROM kept)""",
     "p5_found": f"""WITH {_USABLE},
 v AS (SELECT point_id AS id, CAST(round(x * 1000) AS BIGINT) AS x, CAST(round(y * 1000) AS BIGINT) AS y, CAST(round(z * 1000) AS BIGINT) AS z FROM usable WHERE round(z, 6) BETWEEN 1.1 AND 1.6),
 d AS (SELECT a.id AS a, b.id AS b, row_number() OVER (PARTITION BY a.id ORDER BY (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z), b.id) AS r FROM v a JOIN v b ON a.id <> b.id)
