@@ -35,7 +35,8 @@ _PAIR = "src bigint, sx bigint, sy bigint, sz bigint, dst bigint, dx bigint, dy
 def _nearest(pairs: DataFrame, k: int) -> DataFrame:
     """The k nearest (by d2, then dst) of each src, each once, and the distance ``worst`` that a new one
     must not exceed; an entry seen before isn't fresh."""
-    once = pairs.groupBy("src", "sx", "sy", "sz", "dst", "dx", "dy", "dz", "d2").agg(F.min("fresh").alias("fresh"))
+    # one shuffle by src serves the aggregation and both windows
+    once = pairs.repartition("src").groupBy("src", "sx", "sy", "sz", "dst", "dx", "dy", "dz", "d2").agg(F.min("fresh").alias("fresh"))
     kept = once.withColumn("_r", F.row_number().over(Window.partitionBy("src").orderBy("d2", "dst"))).where(F.col("_r") <= k)
     return kept.withColumn("worst", F.coalesce(F.max(F.when(F.col("_r") == k, F.col("d2"))).over(Window.partitionBy("src")), F.lit(2**62))).drop("_r")
 
@@ -105,8 +106,9 @@ def _meet(lists: DataFrame, k: int) -> DataFrame:
 def nn_descent(vectors: DataFrame, work: Workspace, k: int = LIST_LENGTH, reach: int = START_REACH, max_rounds: int = MAX_ROUNDS, least_change: float = LEAST_CHANGE) -> DataFrame:
     """The neighbour graph (src, s-coordinates, dst, d-coordinates, d2, fresh): k nearest of each vector.
 
-    ``vectors`` has id (unique), x, y, z as long. Links against the direction count too, of each vector the k
-    nearest, so a popular vector has a bounded list. Equal distances are ordered by id.
+    ``vectors`` has id (unique), x, y, z as long. Links against the direction count too; of all links of a
+    vector the 2 k nearest meet. As at most k + 1 vectors share a place, only a bounded number of others can
+    have one vector among their nearest. Equal distances are ordered by id.
     """
     x, y, z, i = (F.col(c) for c in ("x", "y", "z", "id"))
     strip = lambda c: F.floor(c / 1000)
@@ -115,12 +117,12 @@ def nn_descent(vectors: DataFrame, work: Workspace, k: int = LIST_LENGTH, reach:
     graph = work.put("graph", _nearest(first, k))
     total = graph.count()
     for _ in range(max_rounds):
-        back = graph.select(F.col("dst").alias("at"), F.col("src").alias("id"), *[F.col("s" + c).alias(c) for c in _VECTOR], "worst", "fresh", "d2")
-        near = Window.partitionBy("at").orderBy("d2", "id")
-        back = back.withColumn("_r", F.row_number().over(near)).where(F.col("_r") <= k).drop("_r", "d2")
+        back = graph.select(F.col("dst").alias("at"), F.col("src").alias("id"), *[F.col("s" + c).alias(c) for c in _VECTOR], "worst", "d2", "fresh")
         limit = graph.groupBy(F.col("src").alias("dst")).agg(F.first("worst").alias("worst"))
-        ahead = graph.drop("worst").join(limit, "dst").select(F.col("src").alias("at"), F.col("dst").alias("id"), *[F.col("d" + c).alias(c) for c in _VECTOR], "worst", "fresh")
-        members = ahead.unionByName(back).groupBy("at", "id", *_VECTOR, "worst").agg(F.max("fresh").alias("fresh"))
+        ahead = graph.drop("worst").join(limit, "dst").select(F.col("src").alias("at"), F.col("dst").alias("id"), *[F.col("d" + c).alias(c) for c in _VECTOR], "worst", "d2", "fresh")
+        # one shuffle brings a vector's links of both directions together; the 2 k nearest of them are kept
+        members = ahead.unionByName(back).repartition("at").groupBy("at", "id", *_VECTOR, "worst", "d2").agg(F.max("fresh").alias("fresh"))
+        members = members.withColumn("_r", F.row_number().over(Window.partitionBy("at").orderBy("d2", "id"))).where(F.col("_r") <= 2 * k)
         lists = members.groupBy("at").agg(F.collect_list(F.struct("id", *_VECTOR, "worst", "fresh")).alias("members"))
         graph = work.put("graph", _nearest(graph.drop("worst").withColumn("fresh", F.lit(False)).unionByName(_meet(lists, k)), k))
         changed = graph.where("fresh").count()
