@@ -18,7 +18,7 @@ BLENDS = ("alpha", "multiply", "screen", "overlay")
 
 def bin256(v: Column) -> Column:
     """Bin 1..256 of a number in [0, 1]: equal widths, closed on the right, 0 in the first; null stays null."""
-    return F.greatest(F.lit(1), F.least(F.lit(256), F.ceil(v * 256))).cast("int")
+    return F.when(v.isNotNull(), F.greatest(F.lit(1), F.least(F.lit(256), F.ceil(v * 256)))).cast("int")
 
 
 def by_value(values: DataFrame, palette: list[str] | None = None) -> DataFrame:
@@ -27,10 +27,10 @@ def by_value(values: DataFrame, palette: list[str] | None = None) -> DataFrame:
     v = values.select("id", F.nanvl(F.col("value").cast("double"), F.lit(None).cast("double")).alias("value"))
     span = v.agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     share = F.coalesce(F.try_divide(F.col("value") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0))
-    binned = v.join(F.broadcast(span), F.lit(True)).select("id", F.when(F.col("value").isNotNull(), bin256(share)).alias("bin"))
-    stops = ramp(palette or ["black", "white"])
-    channel = lambda i: F.coalesce(F.element_at(F.array(*[F.lit(s[i]) for s in stops]), F.col("bin")), F.lit(0)).alias("RGB"[i])
-    return binned.select("id", channel(0), channel(1), channel(2))
+    # values that are missing have a stop of their own after the ramp
+    binned = v.join(F.broadcast(span), F.lit(True)).select("id", F.when(F.col("value").isNull(), F.lit(257)).otherwise(bin256(share)).alias("bin"))
+    stops = [*ramp(palette or ["black", "white"]), (0, 0, 0)]
+    return binned.select("id", *[F.element_at(F.array(*[F.lit(s[i]) for s in stops]), F.col("bin")).alias("RGB"[i]) for i in range(3)])
 
 
 def by_raster(points: DataFrame, red: DataFrame, green: DataFrame, blue: DataFrame, res: float, origin: tuple[float, float] = (0.0, 0.0)) -> DataFrame:

@@ -121,18 +121,79 @@ def fit_irls(points: np.ndarray) -> tuple[np.ndarray, float]:
 
 def _rounds(times: int, n: int, inliers: float, conf: float) -> int:
     miss = 1 - inliers**n
-    return times * (1 if miss <= 0 else math.ceil(math.log(max(1 - conf, 1e-300)) / math.log(miss)))
+    return max(1, times if miss <= 0 else math.ceil(times * math.log(max(1 - conf, 1e-300)) / math.log(miss)))
+
+
+def nelder_mead_many(f, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``nelder_mead`` for many problems at once: f(points (m, d), which problem (m,)) gives m values."""
+    b, n = start.shape
+    expand, contract, shrink = 1 + 2 / n, 0.75 - 1 / (2 * n), 1 - 1 / n
+    s = np.repeat(start[:, None, :], n + 1, axis=1)
+    for i in range(n):
+        s[:, i + 1, i] = np.where(start[:, i] == 0, 0.00025, start[:, i] * 1.05)
+    every = np.arange(b)
+    v = f(s.reshape(-1, n), np.repeat(every, n + 1)).reshape(b, n + 1)
+    before, done = v.min(1), np.zeros(b, bool)
+    live = every
+    for _ in range(MAX_ITERATIONS):
+        order = np.argsort(v[live], axis=1, kind="stable")
+        sl, vl = np.take_along_axis(s[live], order[:, :, None], 1), np.take_along_axis(v[live], order, 1)
+        middle = sl[:, :-1].mean(1)
+        r = 2 * middle - sl[:, -1]
+        fr = f(r, live)
+        # one further trial point per problem: outwards, or towards the middle from either side
+        better, poor = fr < vl[:, 0], fr >= vl[:, -2]
+        outer = poor & (fr < vl[:, -1])
+        t = np.where(better[:, None], middle + expand * (r - middle), np.where(outer[:, None], middle + contract * (r - middle), middle - contract * (middle - sl[:, -1])))
+        ft = np.full(len(live), np.inf)
+        need = better | poor
+        if need.any():
+            ft[need] = f(t[need], live[need])
+        use_t = (better & (ft < fr)) | (outer & (ft <= fr)) | (poor & ~outer & (ft < vl[:, -1]))
+        use_r = ~use_t & ~poor
+        sl[use_t, -1], vl[use_t, -1] = t[use_t], ft[use_t]
+        sl[use_r, -1], vl[use_r, -1] = r[use_r], fr[use_r]
+        small = np.flatnonzero(~use_t & ~use_r)
+        if len(small):
+            sl[small, 1:] = sl[small, :1] + shrink * (sl[small, 1:] - sl[small, :1])
+            vl[small, 1:] = f(sl[small, 1:].reshape(-1, n), np.repeat(live[small], n)).reshape(-1, n)
+        s[live], v[live] = sl, vl
+        still = np.abs(before[live] - vl.max(1)) > TOLERANCE
+        before[live] = vl.min(1)
+        done[live[~still]] = True
+        live = live[still]
+        if not len(live):
+            break
+    at = v.argmin(1)
+    return s[every, at], v[every, at], done
+
+
+def fit_many(clouds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``fit_nm`` of many clouds of one size, (b, n, 3)."""
+    q = clouds - np.sort(clouds, axis=1)[:, clouds.shape[1] // 2, :][:, None, :]
+
+    def objective(p: np.ndarray, which: np.ndarray) -> np.ndarray:
+        rho, theta, phi, alpha, r = p.T
+        st, ct, sp, cp, zero = np.sin(theta), np.cos(theta), np.sin(phi), np.cos(phi), np.zeros(len(p))
+        n = np.stack([cp * st, sp * st, ct], 1)
+        a = np.stack([cp * ct, sp * ct, -st], 1) * np.cos(alpha)[:, None] + np.stack([-sp, cp, zero], 1) * np.sin(alpha)[:, None]
+        d = q[which] - ((r + rho)[:, None] * n)[:, None, :]
+        # the axis is a unit vector: distance from it by what is left of the length
+        along = np.einsum("bij,bj->bi", d, a)
+        return ((np.sqrt(np.maximum(np.einsum("bij,bij->bi", d, d) - along * along, 0)) - r[:, None]) ** 2).sum(1)
+
+    p, v, done = nelder_mead_many(objective, np.tile(np.array([0, math.pi / 2, 0, 0, 0], float), (len(q), 1)))
+    p[:, 4] = np.abs(p[:, 4])
+    return p, np.where(done, v, np.inf)
 
 
 def fit_ransac(points: np.ndarray, n: int, inliers: float, conf: float, rng: np.random.Generator) -> tuple[np.ndarray, float]:
     if len(points) <= n:
         return fit_nm(points)
-    best, err = None, math.inf
-    for _ in range(_rounds(5, n, inliers, conf)):
-        p, e = fit_nm(points[rng.choice(len(points), n, replace=False)])
-        if best is None or e < err:
-            best, err = p, e
-    return best, err
+    draws = np.stack([rng.choice(len(points), n, replace=False) for _ in range(_rounds(5, n, inliers, conf))])
+    p, e = fit_many(points[draws])
+    k = int(e.argmin())
+    return p[k], float(e[k])
 
 
 def circles_ls(x: np.ndarray, y: np.ndarray) -> np.ndarray:

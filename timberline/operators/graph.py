@@ -44,6 +44,7 @@ def components(edges: DataFrame, work: Workspace, nodes: DataFrame | None = None
     the number of rounds grows with the logarithm of the size of a part, whatever its shape, and the edge
     table only shrinks. A node with very many links never gathers them.
     """
+    work = work.child("stars")
     e = work.put("stars", edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     for _ in range(MAX_ROUNDS):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -94,6 +95,7 @@ def shortest_paths(edges: DataFrame, seeds: DataFrame, work: Workspace, part_edg
     be applied later. Connected parts of bounded size are solved by Dijkstra in a task each; larger parts
     advance together, a round per link of the longest path, keeping the shortest distance of seed and node.
     """
+    work = work.child("paths")
     e = work.put("path-edges", undirected(edges))
     s = work.put("path-seeds", seeds.select(F.col("node").cast("long").alias("node")).distinct())
     part = work.put("path-parts", components(e.select(F.col("src").alias("a"), F.col("dst").alias("b")), work, s))

@@ -64,6 +64,7 @@ def areas(labels: DataFrame, res: float) -> DataFrame:
 
 def fill_holes(labels: DataFrame, work: Workspace) -> DataFrame:
     """The labelled cells together with the cells they enclose, each label by itself."""
+    work = work.child("holes")
     box = labels.groupBy("label").agg(F.min("row_").alias("r0"), F.max("row_").alias("r1"), F.min("col_").alias("c0"), F.max("col_").alias("c1"))
     around = box.withColumn("row_", F.explode(F.sequence(F.col("r0") - 1, F.col("r1") + 1))).withColumn("col_", F.explode(F.sequence(F.col("c0") - 1, F.col("c1") + 1)))
     edge = (F.col("row_") < F.col("r0")) | (F.col("row_") > F.col("r1")) | (F.col("col_") < F.col("c0")) | (F.col("col_") > F.col("c1"))

@@ -28,14 +28,16 @@ def heavy_hitters(df: DataFrame, key: str, share: float = 0.005, max_keys: int =
     return top.select("n", F.explode("top").alias("t")).where(F.col("t.count") >= F.greatest(F.lit(2.0), F.col("n") * share)).select(F.col("t.item").alias(key), F.col("t.count").alias("rows_about"))
 
 
-def split_by_weight(df: DataFrame, key: str, share: float = 0.005, salts: int = 64, salt_by: list[Column] | None = None) -> tuple[DataFrame, DataFrame]:
+def split_by_weight(df: DataFrame, key: str, share: float = 0.005, salts: int = 64, salt_by: list[Column] | None = None, chunk: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(heavy rows with a column _salt, light rows). Both by broadcast join with the bounded heavy list.
 
     Rows with a null key are light. ``salt_by`` are the columns that spread a heavy key; by default all.
+    With ``chunk`` a key has as many salts as it needs for about that many rows each.
     """
-    heavy = F.broadcast(heavy_hitters(df, key, share).select(key))
+    count = F.lit(salts) if chunk is None else F.ceil(F.col("rows_about") / chunk)
+    heavy = F.broadcast(heavy_hitters(df, key, share).select(key, count.cast("int").alias("_salts")))
     spread = salt_by or [F.col(c) for c in df.columns]
-    hot = df.join(heavy, key, "left_semi").withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
+    hot = df.join(heavy, key).withColumn("_salt", F.pmod(F.xxhash64(*spread), F.col("_salts")).cast("int")).select(*df.columns, "_salt")
     return hot, df.join(heavy, key, "left_anti")
 
 

@@ -17,7 +17,7 @@ from .sampling import clean_number, decimate_random, height_slice, without_groun
 from .skew import aggregate_per_key, heavy_hitters, split_by_weight, top_per_key
 from .spatial import cell, nearest_within, points_in_circles, relative_density
 
-#: Hull corners come from extreme points in this many directions per chunk before the exact hull.
+#: Points of a part whose hull corners stand for it in the hull of a tree with very many points.
 CHUNK = 20_000
 
 
@@ -103,7 +103,7 @@ def hull_3d(p: np.ndarray) -> tuple[float, float, np.ndarray] | None:
     return abs(volume), float(np.linalg.norm(cross, axis=1).sum() / 2), p[np.unique(f)] + o
 
 
-def _corners(kind: str, dims: int):
+def _corners(dims: int):
     """Replaces the points of a group by the corners of their hull, which has the same hull."""
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
@@ -122,12 +122,12 @@ def _corners(kind: str, dims: int):
 
 
 def _hull_points(points: DataFrame, dims: int) -> DataFrame:
-    """(tree_id, x, y[, z]): of trees with very many points only hull corners of hashed parts."""
+    """(tree_id, x, y[, z]): of trees that hold a large share of all points only the hull corners of parts."""
     axes = ["x", "y", "z"][:dims]
     p = points.select("tree_id", *axes).distinct()
     kind = p.schema["tree_id"].dataType.simpleString()
-    hot, rest = split_by_weight(p, "tree_id", salts=256)
-    thin = hot.groupBy("tree_id", "_salt").applyInPandas(lambda f: _corners(kind, dims)(f), f"tree_id {kind}, " + ", ".join(f"{a} double" for a in axes))
+    hot, rest = split_by_weight(p, "tree_id", chunk=CHUNK)
+    thin = hot.groupBy("tree_id", "_salt").applyInPandas(_corners(dims), f"tree_id {kind}, " + ", ".join(f"{a} double" for a in axes))
     return rest.unionByName(thin)
 
 

@@ -51,6 +51,11 @@ def _r(c, n=6):
     return F.round(c, n).alias(c)
 
 
+def _off_ties(c):
+    """Seven decimals; the shift keeps sums of whole millimetres away from the halves, where noise decides."""
+    return F.round(c + 3e-11, 7)
+
+
 def count_in_disc(spark, sf_dir):
     return spatial.count_in_disc(slice_of(spark, sf_dir), LARGE)
 
@@ -112,7 +117,7 @@ def pixel_metrics(spark, sf_dir):
 def neighborhood_covariance(spark, sf_dir):
     s = slice_of(spark, sf_dir)
     c = eigen.covariances(spatial.radius_pairs(s, s, LARGE))
-    return c.select("id", "n", *[_r(x, 7) for x in ("cxx", "cxy", "cxz", "cyy", "cyz", "czz")])
+    return c.select("id", "n", *[_off_ties(F.col(x)).alias(x) for x in ("cxx", "cxy", "cxz", "cyy", "cyz", "czz")])
 
 
 def eigen_density(spark, sf_dir):
@@ -124,7 +129,7 @@ def eigen_invariants(spark, sf_dir):
     """Sum, sum of products and product of the eigenvalues, which SQL gets without an eigensolver."""
     m = eigen.eigen_metrics(slice_of(spark, sf_dir), LARGE, curvature=False)
     a, b, c = F.col("eLargest"), F.col("eMedium"), F.col("eSmallest")
-    return m.select("id", _r("eSum", 7), F.round(a * b + a * c + b * c, 7).alias("minors"), F.round(a * b * c, 7).alias("det"))
+    return m.select("id", _off_ties(F.col("eSum")).alias("eSum"), _off_ties(a * b + a * c + b * c).alias("minors"), _off_ties(a * b * c).alias("det"))
 
 
 def eigen_metrics_full(spark, sf_dir):
@@ -426,7 +431,7 @@ SELECT CAST(floor(y) AS INT) AS row_, CAST(floor(x) AS INT) AS col_, count(*) AS
     "pixel_metrics": f"""WITH {_CLOUD}
 SELECT CAST(floor(y / 5) AS INT) AS row_, CAST(floor(x / 5) AS INT) AS col_, count(*) AS n, max(z) AS top, round(quantile_cont(z, 0.01), 6) AS z01, round(quantile_cont(z, 0.5), 6) AS z50, round(quantile_cont(z, 0.99), 6) AS z99, round(stddev_samp(z), 6) AS sd
 FROM u GROUP BY 1, 2""",
-    "neighborhood_covariance": f"WITH {_SLICE},\n{_pairs('s', 's', LARGE)},\nc AS (SELECT l_id AS id, count(*) AS n, {_COV} FROM pairs GROUP BY l_id)\nSELECT id, n, " + ", ".join(f"round({c}, 7) AS {c}" for c in ("cxx", "cxy", "cxz", "cyy", "cyz", "czz")) + " FROM c",
+    "neighborhood_covariance": f"WITH {_SLICE},\n{_pairs('s', 's', LARGE)},\nc AS (SELECT l_id AS id, count(*) AS n, {_COV} FROM pairs GROUP BY l_id)\nSELECT id, n, " + ", ".join(f"round({c} + 3e-11, 7) AS {c}" for c in ("cxx", "cxy", "cxz", "cyy", "cyz", "czz")) + " FROM c",
     "eigen_density": f"""WITH {_SLICE},
 {_pairs('s', 's', LARGE)},
 c AS (SELECT l_id AS id, count(*)::DOUBLE AS n FROM pairs GROUP BY l_id)
@@ -434,9 +439,9 @@ SELECT id, CASE WHEN n < 3 THEN 0 ELSE round(n / (pi() * {LARGE * LARGE!r}::DOUB
     "eigen_invariants": f"""WITH {_SLICE},
 {_pairs('s', 's', LARGE)},
 c AS (SELECT l_id AS id, count(*) AS n, {_COV} FROM pairs GROUP BY l_id)
-SELECT id, CASE WHEN n < 3 THEN 0 ELSE round(cxx + cyy + czz, 7) END AS "eSum",
-  CASE WHEN n < 3 THEN 0 ELSE round(cxx * cyy - cxy * cxy + cxx * czz - cxz * cxz + cyy * czz - cyz * cyz, 7) END AS minors,
-  CASE WHEN n < 3 THEN 0 ELSE round(cxx * (cyy * czz - cyz * cyz) - cxy * (cxy * czz - cyz * cxz) + cxz * (cxy * cyz - cyy * cxz), 7) END AS det FROM c""",
+SELECT id, CASE WHEN n < 3 THEN 0 ELSE round(cxx + cyy + czz + 3e-11, 7) END AS "eSum",
+  CASE WHEN n < 3 THEN 0 ELSE round(cxx * cyy - cxy * cxy + cxx * czz - cxz * cxz + cyy * czz - cyz * cyz + 3e-11, 7) END AS minors,
+  CASE WHEN n < 3 THEN 0 ELSE round(cxx * (cyy * czz - cyz * cyz) - cxy * (cxy * czz - cyz * cxz) + cxz * (cxy * cyz - cyy * cxz) + 3e-11, 7) END AS det FROM c""",
     "knn_within": f"WITH {_SLICE},\n{_pairs('s', 's', LARGE)}\nSELECT l_id, r_id, CAST(r AS INT) AS rank, round(sqrt(d2), 6) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY l_id ORDER BY d2, r_id) AS r FROM pairs WHERE l_id <> r_id) WHERE r <= 5",
     "nearest_seed": f"WITH {_SLICE},\n{_SEEDS},\nti AS (SELECT tree_id AS id, x, y, z FROM t),\n{_pairs('ti', 's', 1.0005)}\nSELECT l_id, r_id, round(sqrt(d2), 6) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY l_id ORDER BY d2, r_id) AS r FROM pairs) WHERE r = 1",
     "point_in_disc": f"WITH {_SLICE},\n{_SEEDS}\nSELECT s.id, min(t.tree_id) AS circle FROM s JOIN t ON s.x BETWEEN t.x - t.radius - 0.1 AND t.x + t.radius + 0.1 AND (s.x - t.x) * (s.x - t.x) + (s.y - t.y) * (s.y - t.y) <= (t.radius + 0.0755::DOUBLE) * (t.radius + 0.0755::DOUBLE) GROUP BY s.id",

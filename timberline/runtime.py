@@ -86,6 +86,12 @@ class Workspace:
         self.versions[name] = [path]
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def child(self, label: str) -> Workspace:
+        """A workspace inside this one, whose names don't meet those of others."""
+        inner = object.__new__(Workspace)
+        inner.spark, inner.root, inner.versions = self.spark, f"{self.root}/{label}-{uuid.uuid4().hex[:6]}", {}
+        return inner
+
     def drop(self, *names: str) -> None:
         for name in names:
             for p in self.versions.pop(name, []):
