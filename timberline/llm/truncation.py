@@ -268,6 +268,8 @@ def judge_texts(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     signing = doc.groupBy("source").agg(F.avg(F.col("signed").cast("double")).alias("_share")).where(F.col("_share") >= SIGNED_SHARE).select(F.col("source").alias("_source"), F.lit(True).alias("signs"))
     # words that exist, and how lines of a kind end; only for the ends in question
     known = facts.where("tag = 'word'").groupBy("region", "word").agg(F.sum("n").alias("known")).where(F.col("known") >= WORD_LEAST)
+    # a word that was cut is unknown, and the beginning of a known one
+    prefixes = known.where(F.length("word") > 1).select("region", F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substr("word", F.lit(1), i))).alias("word")).distinct().withColumn("begins", F.lit(True))
     ends = facts.where("tag = 'line'").groupBy("kind", "head", "final").agg(F.sum("n").alias("n_like"))
     like = ends.groupBy("kind", "head").agg(F.sum("n_like").alias("n_kind"))
     # an unfinished sentence of common words after finished ones; foreign words may be a quotation
@@ -281,13 +283,13 @@ def judge_texts(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
         f = flag.withColumnsRenamed({"doc_id": "_doc", "source": "_src"})
         d = d.join(f, d["doc_id"].eqNullSafe(f["_doc"]) & d["source"].eqNullSafe(f["_src"]), "left").drop("_doc", "_src")
     d = d.join(signing, d["source"].eqNullSafe(signing["_source"]), "left").drop("_source")
-    d = d.join(known, ["region", "word"], "left").join(like, ["kind", "head"], "left").join(ends, ["kind", "head", "final"], "left")
+    d = d.join(known, ["region", "word"], "left").join(prefixes, ["region", "word"], "left").join(like, ["kind", "head"], "left").join(ends, ["kind", "head", "final"], "left")
     open_end = ~F.col("ends_line") & ~F.col("refs") & ~F.col("signed")
     reason = (
         F.when(F.col("cut") != "", F.col("cut"))
         .when(F.col("signs") & ~F.col("signed"), "signature missing")
         .when(F.col("full") & open_end, "stops at the limit of its source")
-        .when(open_end & F.col("word").isNotNull() & F.col("known").isNull(), "stops inside a word")
+        .when(open_end & F.col("begins") & F.col("known").isNull(), "stops inside a word")
         .when(open_end & (F.col("n_kind") >= KIND_LEAST) & (F.coalesce("n_like", F.lit(0)) <= KIND_SHARE * F.col("n_kind")), "ends unlike its kind of line")
         .when(open_end & F.col("prose"), "stops inside a sentence")
     )
