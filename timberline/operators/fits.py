@@ -264,6 +264,55 @@ def fit_cylinder(points: np.ndarray, method: str = "ransac", n: int = 5, inliers
     return np.array([*p, e])
 
 
+def circle_nm(x: np.ndarray, y: np.ndarray, weights: np.ndarray | None = None, start: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """((cx, cy, r), error): least squares of the distances from the circle by Nelder-Mead, from the
+    algebraic circle or a given start."""
+    w = np.ones(len(x)) if weights is None else weights
+    if start is None:
+        start = circles_ls(x[None], y[None])[0, :3]
+        start = start if np.isfinite(start).all() else np.array([x.mean(), y.mean(), 0.0])
+    p, v, done = nelder_mead(lambda c: float((w * (np.hypot(x - c[0], y - c[1]) - c[2]) ** 2).sum()), start)
+    p[2] = abs(p[2])
+    return p, v if done else math.inf
+
+
+def circle_irls(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """``circle_nm`` with bisquare weights until the error stays."""
+    p, last, w = None, math.inf, np.ones(len(x))
+    for _ in range(100):
+        p, err = circle_nm(x, y, w, p)
+        w = tukey((np.hypot(x - p[0], y - p[1]) - p[2]) ** 2)
+        if not math.isfinite(err) or abs(err - last) < 1e-6:
+            break
+        last = err
+    return p, err
+
+
+def fit_circles(points: DataFrame, key: str, method: str = "irls", n: int = 5, inliers: float = 0.9, conf: float = 0.95, n_best: int = 0, seed: int = 0) -> DataFrame:
+    """(key, cx, cy, radius, err) per group of (key, id, x, y) by ``nm``, ``irls`` or ``ransac``; groups of
+    fewer than three points and null keys have no row."""
+    if method not in ("nm", "irls", "ransac"):
+        raise ValueError("method must be nm, irls or ransac")
+    rows = points.where(F.col(key).isNotNull() & is_number(F.col("x")) & is_number(F.col("y")))
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(k: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("id")
+        x, y = f["x"].to_numpy(), f["y"].to_numpy()
+        out = []
+        if len(x) > 2:
+            if method == "ransac":
+                p = ransac_circle(x, y, min(n, len(x) - 1) if len(x) > 3 else 3, inliers, conf, n_best, np.random.default_rng(_seed(k[0], seed)))
+            else:
+                c, e = circle_nm(x, y) if method == "nm" else circle_irls(x, y)
+                p = [*c, e]
+            out = [[k[0], *map(float, p)]]
+        return pd.DataFrame(out, columns=[key, "cx", "cy", "radius", "err"])
+
+    size = DRAW_POINTS if method == "ransac" else FIT_POINTS
+    return bounded_sample(rows.select(key, "id", "x", "y"), [key], size, seed).groupBy(key).applyInPandas(run, f"`{key}` {kind}, cx double, cy double, radius double, err double")
+
+
 def bounded_sample(points: DataFrame, key: list[str], size: int, seed: int = 0) -> DataFrame:
     """At most ``size`` rows of each group, in hash order of the id."""
     w = Window.partitionBy(*key).orderBy(hash01(seed, F.col("id")), "id")

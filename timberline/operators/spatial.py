@@ -112,3 +112,17 @@ def ids_from_map(points: DataFrame, tree_map: DataFrame, length: float = 2.5, ci
     inside = p.where(F.col("d2") < r * r) if circle else p.where((F.abs("dx") < r) & (F.abs("dy") < r))
     first = inside.groupBy(F.col("l_id").alias("id")).agg(F.min("r_id").alias("order")).join(tree_map.select("order", "tree_id"), "order")
     return points.select("id").join(first.select("id", "tree_id"), "id", "left").select("id", F.coalesce("tree_id", F.lit(0)).alias("tree_id"))
+
+
+def distance_statistics(distances: DataFrame, column: str = "distances", zero: float = 1e-8) -> DataFrame:
+    """Median, Min, Max, Mean, Var and Sd of the sorted distances of each row (id, array), up to the first
+    value below ``zero``, after which the list counts as unused; the upper median and the sample variance.
+    Rows without a value have nulls."""
+    first = F.expr(f"aggregate(transform({column}, v -> v < {zero!r}D), struct(0 AS n, false AS stop), (a, b) -> struct(if(a.stop or b, a.n, a.n + 1) AS n, a.stop or b AS stop)).n")
+    used = F.slice(F.col(column), F.lit(1), first)
+    d = distances.select("id", F.when(first > 0, F.sort_array(used)).alias("v")).withColumn("k", F.size("v"))
+    mean = F.aggregate("v", F.lit(0.0), lambda a, b: a + b) / F.col("k")
+    d = d.withColumn("Mean", mean)
+    ss = F.aggregate(F.transform("v", lambda x: (x - F.col("Mean")) * (x - F.col("Mean"))), F.lit(0.0), lambda a, b: a + b)
+    d = d.withColumn("Var", F.when(F.col("k") > 1, ss / (F.col("k") - 1)))
+    return d.select("id", F.get("v", F.floor(F.col("k") / 2).cast("int")).alias("Median"), F.array_min("v").alias("Min"), F.array_max("v").alias("Max"), "Mean", "Var", F.sqrt("Var").alias("Sd"))

@@ -195,6 +195,20 @@ def circle_landau(spark, sf_dir):
     return fits.landau_groups(stems(spark, sf_dir), "tree_id")
 
 
+def circle_irls(spark, sf_dir):
+    return fits.fit_circles(stems(spark, sf_dir), "tree_id", "irls")
+
+
+def circle_ransac(spark, sf_dir):
+    return fits.fit_circles(stems(spark, sf_dir), "tree_id", "ransac", n=5)
+
+
+def knn_distance_statistics(spark, sf_dir):
+    k = spatial.knn_within(slice_of(spark, sf_dir), 5, LARGE).groupBy(F.col("l_id").alias("id")).agg(F.sort_array(F.collect_list("dist")).alias("distances"))
+    d = spatial.distance_statistics(k)
+    return d.select("id", *[_r(c) for c in ("Median", "Min", "Max", "Mean")])
+
+
 def _cylinders(method, **options):
     def run(spark, sf_dir):
         return fits.fit_groups(stems(spark, sf_dir), "tree_id", method, **options)
@@ -333,7 +347,7 @@ def rotation(spark, sf_dir):
 
 _NAMES = """count_in_disc count_in_sphere relative_density height_slice ground_filter voxel_first voxel_random voxel_index bernoulli_sample
 crop_disc recentred slices pixel_metrics neighborhood_covariance eigen_density eigen_invariants eigen_metrics_full knn_within nearest_seed
-point_in_disc tree_ids_from_map graph_edges graph_degree connected_points shortest_path_assign metabolic_scale circle_algebraic circle_landau
+point_in_disc tree_ids_from_map graph_edges graph_degree connected_points shortest_path_assign metabolic_scale circle_algebraic circle_landau circle_irls circle_ransac knn_distance_statistics
 tree_height crown_base_height tree_id_mismatch crown_area tree_attributes raster_reclass focal_max patchmorph sum_by_suitability
 connected_cells polygon_area filled_holes closed_cells zonal_stats extract_cells color_attr color_raster pcv ssao depth_map
 hough_votes hough_centre stem_layers pixel_counts locate_trees segment_points rotation""".split()
@@ -443,6 +457,11 @@ SELECT id, CASE WHEN n < 3 THEN 0 ELSE round(cxx + cyy + czz + 3e-11, 7) END AS
   CASE WHEN n < 3 THEN 0 ELSE round(cxx * cyy - cxy * cxy + cxx * czz - cxz * cxz + cyy * czz - cyz * cyz + 3e-11, 7) END AS minors,
   CASE WHEN n < 3 THEN 0 ELSE round(cxx * (cyy * czz - cyz * cyz) - cxy * (cxy * czz - cyz * cxz) + cxz * (cxy * cyz - cyy * cxz) + 3e-11, 7) END AS det FROM c""",
     "knn_within": f"WITH {_SLICE},\n{_pairs('s', 's', LARGE)}\nSELECT l_id, r_id, CAST(r AS INT) AS rank, round(sqrt(d2), 6) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY l_id ORDER BY d2, r_id) AS r FROM pairs WHERE l_id <> r_id) WHERE r <= 5",
+    "knn_distance_statistics": f"""WITH {_SLICE},
+{_pairs('s', 's', LARGE)},
+k AS (SELECT l_id AS id, list(sqrt(d2) ORDER BY d2) AS v FROM (SELECT *, row_number() OVER (PARTITION BY l_id ORDER BY d2, r_id) AS r FROM pairs WHERE l_id <> r_id) WHERE r <= 5 GROUP BY l_id),
+q AS (SELECT id, v[1:(CASE WHEN v[1] < 1e-8 THEN 0 ELSE len(v) END)] AS v FROM k)
+SELECT id, round(v[len(v) // 2 + 1], 6) AS "Median", round(v[1], 6) AS "Min", round(v[len(v)], 6) AS "Max", round(list_avg(v), 6) AS "Mean" FROM q""",
     "nearest_seed": f"WITH {_SLICE},\n{_SEEDS},\nti AS (SELECT tree_id AS id, x, y, z FROM t),\n{_pairs('ti', 's', 1.0005)}\nSELECT l_id, r_id, round(sqrt(d2), 6) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY l_id ORDER BY d2, r_id) AS r FROM pairs) WHERE r = 1",
     "point_in_disc": f"WITH {_SLICE},\n{_SEEDS}\nSELECT s.id, min(t.tree_id) AS circle FROM s JOIN t ON s.x BETWEEN t.x - t.radius - 0.1 AND t.x + t.radius + 0.1 AND (s.x - t.x) * (s.x - t.x) + (s.y - t.y) * (s.y - t.y) <= (t.radius + 0.0755::DOUBLE) * (t.radius + 0.0755::DOUBLE) GROUP BY s.id",
     "tree_ids_from_map": f"WITH {_SLICE},\n{_SEEDS},\nti AS (SELECT tree_id AS id, x, y, z FROM t),\n{_pairs('s', 'ti', 2.5005, 2)}\nSELECT s.id, coalesce(min(r_id), 0) AS tree_id FROM s LEFT JOIN pairs ON s.id = l_id GROUP BY s.id",
