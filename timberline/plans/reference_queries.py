@@ -328,6 +328,50 @@ def stem_layers(spark, sf_dir):
     return hough.stem_layers(real_trees(spark, sf_dir))
 
 
+def hough_centres(spark, sf_dir):
+    """Centres over the whole slice, thinned to one per surroundings."""
+    p = hough.pixel_counts(slice_of(spark, sf_dir), 0.05)
+    return hough.merge_centres(hough.hough_votes(p, 0.25, 0.05), 0.05, 0.25)
+
+
+def _discs(spark, sf_dir):
+    d = stem_layers(spark, sf_dir).where("votes > 0")
+    return d.select((F.col("tree_id").cast("long") * 1000 + F.col("layer")).alias("disc"), "layer", "x", "y", "radius", "votes")
+
+
+def disc_groups(spark, sf_dir):
+    return hough.group_discs(_discs(spark, sf_dir), 0.5, 2)
+
+
+def tree_map(spark, sf_dir):
+    d = Workspace(spark, "discs").put("discs", _discs(spark, sf_dir))
+    return hough.tree_map(d, hough.group_discs(d, 0.5, 2))
+
+
+def normal_votes(spark, sf_dir):
+    s = slice_of(spark, sf_dir)
+    n = eigen.eigen_metrics(s, LARGE, curvature=False).where("NumNeighbors >= 3").select("id", F.col("Nx").alias("nx"), F.col("Ny").alias("ny"), F.col("Nz").alias("nz"))
+    return hough.normal_votes(s.select("id", "x", "y", "z").join(n, "id"), 0.05, 0.25)
+
+
+def stem_fits(spark, sf_dir):
+    p = sampling.slices(stems(spark, sf_dir), 1.0, 0.0, 2.0).withColumnRenamed("slice", "segment").withColumn("hough_radius", F.lit(0.15))
+    return hough.stem_fits(p.select("tree_id", "segment", "hough_radius", "id", "x", "y", "z"), 0.1, method="nm")
+
+
+def crown_volume(spark, sf_dir):
+    c = real_trees(spark, sf_dir)
+    return trees.crown_volumes(c, trees.crown_base_heights(c)).select("tree_id", _r("crown_volume"), _r("crown_surface"))
+
+
+def segment_dense(spark, sf_dir):
+    return trees.segment_points(cloud(spark, sf_dir), seeds(spark, sf_dir), Workspace(spark, "segment"), k=20, longest=1.0, spacing=0.25, dense=True, scaled=True)
+
+
+def tile_bounds(spark, sf_dir):
+    return grid.bounding_box(cloud(spark, sf_dir), 1.0)
+
+
 def pixel_counts(spark, sf_dir):
     return hough.pixel_counts(stems(spark, sf_dir), 0.05, ("tree_id",))
 
@@ -350,7 +394,7 @@ crop_disc recentred slices pixel_metrics neighborhood_covariance eigen_density e
 point_in_disc tree_ids_from_map graph_edges graph_degree connected_points shortest_path_assign metabolic_scale circle_algebraic circle_landau circle_irls circle_ransac knn_distance_statistics
 tree_height crown_base_height tree_id_mismatch crown_area tree_attributes raster_reclass focal_max patchmorph sum_by_suitability
 connected_cells polygon_area filled_holes closed_cells zonal_stats extract_cells color_attr color_raster pcv ssao depth_map
-hough_votes hough_centre stem_layers pixel_counts locate_trees segment_points rotation""".split()
+hough_votes hough_centre hough_centres disc_groups tree_map normal_votes stem_fits crown_volume segment_dense tile_bounds stem_layers pixel_counts locate_trees segment_points rotation""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 QUERIES |= {f"blend_{m}": _blend(m) for m in color.BLENDS}
 QUERIES |= {"cylinder_ransac": _cylinders("ransac", n=10), "cylinder_irls": _cylinders("irls"), "cylinder_nm": _cylinders("nm"), "cylinder_bf": _cylinders("bf", n=8, max_angle=2, n_best=5)}
@@ -506,6 +550,7 @@ g AS (SELECT *, sqrt(dx * dx + dy * dy) AS h FROM pairs WHERE l_id <> r_id),
 a AS (SELECT l_id AS id, {_PCV} FROM g WHERE h >= 1e-10 GROUP BY l_id)
 SELECT s.id, round(CASE WHEN a.id IS NULL THEN pi() / 2 ELSE ({' + '.join(f'coalesce(pi() / 2 - a{i}, pi() / 2)' for i in range(8))}) / 8 END, 6) AS value FROM s LEFT JOIN a USING (id)""",
     "depth_map": f"WITH {_CLOUD},\nlow AS (SELECT min(x) AS x0, min(y) AS y0 FROM u)\nSELECT CAST(floor((x - x0) / 2) AS BIGINT) AS gx, CAST(floor((y - y0) / 2) AS BIGINT) AS gy, min(z) AS depth FROM u, low GROUP BY 1, 2",
+    "tile_bounds": f"WITH {_CLOUD}\nSELECT min(x) - 1 AS xmin, min(y) - 1 AS ymin, max(x) + 1 AS xmax, max(y) + 1 AS ymax FROM u",
     "pixel_counts": f"WITH {_STEMS},\nlow AS (SELECT tree_id, min(x) AS x0, min(y) AS y0 FROM st GROUP BY tree_id)\nSELECT tree_id, CAST(floor((x - x0) / 0.05::DOUBLE) AS INT) AS px, CAST(floor((y - y0) / 0.05::DOUBLE) AS INT) AS py, count(*) AS n FROM st JOIN low USING (tree_id) GROUP BY 1, 2, 3",
     **{f"blend_{m}": _blend_sql(m) for m in color.BLENDS},
 }
