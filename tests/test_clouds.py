@@ -143,8 +143,11 @@ def test_components_and_paths(spark):
     for a, b in pairs:
         a, b = sorted((root(a), root(b)))
         parent[b] = a
-    got = {r.node: r.component for r in graph.components(spark.createDataFrame(pairs, "a long, b long"), work).collect()}
-    assert got == {n: root(n) for n in parent}
+    table = spark.createDataFrame(pairs, "a long, b long")
+    for most in (0, None):  # by rounds of stars, and in one task
+        got = {r.node: r.component for r in graph.components(table, work, local_edges=most).collect()}
+        assert got == {n: root(n) for n in parent}
+    assert graph.components(table.limit(0), work).count() == 0
     edges = spark.createDataFrame([(i, i + 1, 1.0) for i in range(10)] + [(0, 9, 2.5), (20, 21, 1.0)], "src long, dst long, w double")
     seeds = spark.createDataFrame([(0, 0.5), (10, 2.0), (99, 1.0)], "node long, radius double")
     for bound in (10**6, 0):  # by Dijkstra per part, and by relaxation

@@ -14,6 +14,8 @@ from ..runtime import Workspace
 from .spatial import knn_within
 
 MAX_ROUNDS = 200
+#: Edge tables of at most so many rows are joined up in one task instead of rounds.
+LOCAL_EDGES = 200_000
 #: Parts with at most so many edges are solved each in one task; larger ones by relaxation rounds.
 PART_EDGES = 200_000
 #: Distances from here on count as unreachable.
@@ -36,18 +38,42 @@ def degrees(edges: DataFrame) -> DataFrame:
     return undirected(edges).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree"))
 
 
-def components(edges: DataFrame, work: Workspace, nodes: DataFrame | None = None) -> DataFrame:
+def _union_find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    parent: dict = {}
+
+    def root(n):
+        while parent[n] != n:
+            parent[n] = parent[parent[n]]
+            n = parent[n]
+        return n
+
+    for f in frames:
+        for a, b in zip(f["a"].tolist(), f["b"].tolist()):
+            parent.setdefault(a, a)
+            parent.setdefault(b, b)
+            low, high = sorted((root(a), root(b)))
+            parent[high] = low
+    if parent:
+        yield pd.DataFrame({"node": list(parent), "component": [root(n) for n in parent]})
+
+
+def components(edges: DataFrame, work: Workspace, nodes: DataFrame | None = None, local_edges: int | None = None) -> DataFrame:
     """(node, component): the smallest node of the connected part. ``edges`` has a, b of one sortable type;
     ``nodes`` (node) adds isolated ones.
 
     Alternating stars: every node links its larger neighbours to its smallest one, then its smaller ones;
     the number of rounds grows with the logarithm of the size of a part, whatever its shape, and the edge
-    table only shrinks. A node with very many links never gathers them.
+    table only shrinks. A node with very many links never gathers them. A table that a count proves to be
+    small, with plain numbers or strings as nodes, is done by union-find in one task.
     """
     work = work.child("stars")
+    edges = work.put("edges", edges.select("a", "b"))
     e = work.put("stars", edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    kind = e.schema["u"].dataType.simpleString()
+    most = LOCAL_EDGES if local_edges is None else local_edges
+    local = kind in ("bigint", "int", "string") and e.limit(most + 1).count() <= most
     before = None
-    for _ in range(MAX_ROUNDS):
+    for _ in range(0 if local else MAX_ROUNDS):
         # links and their digest: equal ones in a row mean that nothing moves any more
         now = tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(38, 0)"))).first())
         if now == before or not now[0]:
@@ -60,9 +86,13 @@ def components(edges: DataFrame, work: Workspace, nodes: DataFrame | None = None
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
         e = work.put("stars", small.where("u <> v").distinct())
     else:
-        raise RuntimeError("no end of the rounds")
-    found = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    found = found.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+        if not local:
+            raise RuntimeError("no end of the rounds")
+    if local:
+        found = e.select(F.col("u").alias("a"), F.col("v").alias("b")).coalesce(1).mapInPandas(_union_find, f"node {kind}, component {kind}")
+    else:
+        found = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        found = found.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
     every = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node")))
     every = (every if nodes is None else every.unionByName(nodes.select("node"))).distinct()
     return every.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))

@@ -69,7 +69,7 @@ def fill_holes(labels: DataFrame, work: Workspace) -> DataFrame:
     around = box.withColumn("row_", F.explode(F.sequence(F.col("r0") - 1, F.col("r1") + 1))).withColumn("col_", F.explode(F.sequence(F.col("c0") - 1, F.col("c1") + 1)))
     edge = (F.col("row_") < F.col("r0")) | (F.col("row_") > F.col("r1")) | (F.col("col_") < F.col("c0")) | (F.col("col_") > F.col("c1"))
     outside = work.put("outside", around.withColumn("edge", edge).select("label", "row_", "col_", "edge").join(labels.select("label", "row_", "col_"), ["label", "row_", "col_"], "left_anti"))
-    node = lambda r, c: F.struct("label", F.col(r).alias("r"), F.col(c).alias("c"))
+    node = lambda r, c: F.concat_ws("/", F.col("label").cast("string"), F.col(r).cast("string"), F.col(c).cast("string"))
     e = _links(outside, "label").select(node("row0", "col0").alias("a"), node("row2", "col2").alias("b"))
     n = outside.select(node("row_", "col_").alias("node"), "label", "row_", "col_", "edge")
     part = n.join(components(e, work, n.select("node")), "node")

@@ -210,9 +210,10 @@ def locate_trees(
 
     def shapes(column: str, threshold: float) -> DataFrame:
         marked = grid.classify(pixels.select("row_", "col_", F.col(column).alias("value")), [(0.0, threshold, 0.0), (threshold, 1.0, 1.0)]).where("value = 1")
-        parts = grid.connected_cells(marked, work)
-        wide = parts.join(grid.areas(parts, res).where(F.col("area") > least_area), "label", "left_semi")
-        return work.put(column, grid.close_cells(grid.fill_holes(wide, work), grow / res, shrink / res))
+        parts = work.put(column + "-parts", grid.connected_cells(marked, work))
+        wide = work.put(column + "-wide", parts.join(grid.areas(parts, res).where(F.col("area") > least_area), "label", "left_semi"))
+        filled = work.put(column + "-filled", grid.fill_holes(wide, work))
+        return work.put(column, grid.close_cells(filled, grow / res, shrink / res))
 
     vert, dens = shapes("vert", verticality), shapes("dens", density)
     both = grid.intersect_labels(vert, dens, res).where(F.col("area") > least_area)
