@@ -126,9 +126,13 @@ def test_graph_finds_most_and_search_too(spark):
     t = v.toPandas()
     x, ids = t[["x", "y", "z"]].to_numpy(), t.id.to_numpy()
     want = _nearest(x, ids)
-    got = {tuple(r) for r in neighbors.nearest_pairs(v, exact=False).collect()}
+    work = Workspace(spark, "test")
+    graph = neighbors.nn_descent(v, work)
+    top = graph.toPandas().sort_values(["src", "d2", "dst"]).groupby("src").head(3)
+    got = {(min(a, b), max(a, b)) for a, b in zip(top.src, top.dst)}
     assert len(got & want) / len(want) >= 0.9
-    r = neighbors.search_slice(las).toPandas()
+    queries = v.where("id % 50 = 0").select(F.col("id").alias("query"), *[F.col(c).alias("q" + c) for c in "xyz"])
+    r = neighbors.search_graph(graph, queries, work).toPandas()
     hit = 0
     for q, part in r.groupby("query"):
         d = ((x - x[ids == q][0]) ** 2).sum(1)
