@@ -181,3 +181,13 @@ def test_truncation_with_baselines(spark):
     rates = {r.source: r for r in truncation.truncation_rates(df).collect()}
     assert rates[None].n_docs == 1 and rates[None].n_truncated == 0 and rates["mail"].n_truncated == 1 and 0 < rates["feed"].share < 1
     assert truncation.find_truncated(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("size", [60, 600])
+def test_cut_words_by_share(spark, size):
+    """The fragment's share of the word that it begins decides, not how often it occurs by chance."""
+    text = lambda i: f"Move the grid\n\nIt reads the point in reader.h{' and poin' if i % 30 == 0 else ''}{' and inner' if i % 2 else ''} now\n"
+    rows = [(i, text(i), "feed") for i in range(size)] + [(5000, "Add it\n\nCalled quixotry once\n", "feed")]
+    rows += [(9000, "Move\n\nIt reads the poin", "feed"), (9001, "Add\n\nCalled quixo", "feed"), (9002, "Move\n\nIt reads the point in", "feed"), (9003, "Move\n\nIt reads reader.h", "feed")]
+    got = truncation.find_truncated(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert {r.doc_id for r in got.collect()} == {9000, 9001}

@@ -28,6 +28,8 @@ _TRAILER = re.compile(r"[A-Z][A-Za-z]*(?:-[A-Za-z]+)*-by: ")
 _REFS = re.compile(r"(?:Refs|Fixes|Closes|See-also): ")
 _SIGNATURE = re.compile(r"\d+(?:\.\d+)+$")
 _LETTERS = re.compile(r"[^\W\d_]+")
+#: Words as they are counted: the ending of a file's name is another word than the letter it looks like.
+_WORDS = re.compile(r"(?:(?<=\w)\.)?[^\W\d_]+")
 _DATE = re.compile(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d$")
 _CLOSERS = {"(": ")", "[": "]", "<": ">"}
 
@@ -38,8 +40,9 @@ LIMIT_LEAST, LIMIT_SHARE = 4, 0.2
 SIGNED_SHARE = 0.5
 #: A line ends unlike its kind if at least so many such lines exist and at most this share ends like it.
 KIND_LEAST, KIND_SHARE = 50, 0.005
-#: A word exists if it stands inside texts at least so often.
-WORD_LEAST = 2
+#: A last word is the beginning of a longer one if it stands inside texts at most this often per occurrence of
+#: the longer words that it begins. Both counts grow with the corpus, so the rule is the same at every size.
+WORD_SHARE = 0.05
 #: A word is common if messages hold it this often per text with content.
 COMMON_SHARE = 0.002
 
@@ -169,9 +172,9 @@ def read_text(text: str) -> dict:
             cut = "blank after a word"
     elif last_state == "hunk" and not ends_line and open_marks(tail[1:]):
         cut = "open mark"
-    words = _LETTERS.findall(last)
+    words = _WORDS.findall(last)
     done, _, rest = last.rpartition(". ")
-    fragment = sorted({w.lower() for w in _LETTERS.findall(rest)}) if last_state == "message" and not ends_line and done.strip() and rest.strip() and rest.rstrip()[-1].isalnum() else None
+    fragment = sorted({w.lower() for w in _WORDS.findall(rest)}) if last_state == "message" and not ends_line and done.strip() and rest.strip() and rest.rstrip()[-1].isalnum() else None
     ends_in_word = not ends_line and bool(last) and last.rstrip()[-1:].isalpha() and bool(words)
     return {
         "cut": cut, "ends_line": ends_line, "signed": signed, "refs": refs, "kinds": kinds, "last_state": last_state,
@@ -228,7 +231,7 @@ def _facts(docs: DataFrame) -> DataFrame:
                 out["n_bytes"].append(len(text.encode("utf-8", "replace")))
                 inner = f["kinds"] if f["ends_line"] or f["last_state"] not in ("message", "hunk") else f["kinds"][:-1]
                 for region in ("message", "hunk"):
-                    found = _LETTERS.findall("\n".join(x for kind, x in inner if (kind == "message") == (region == "message")).lower())
+                    found = _WORDS.findall("\n".join(x for kind, x in inner if (kind == "message") == (region == "message")).lower())
                     words.update(zip(repeat(region), found))
                 ends.update((kind, _head(x), final_class(x)) for kind, x in inner if kind != "message")
             size = len(out["doc_id"])
@@ -266,10 +269,10 @@ def judge_texts(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     reached &= (F.col("_length") == F.col("_limit")) | (F.col("n_chars") < F.col("n_bytes"))
     full = doc.join(limits, doc["source"].eqNullSafe(limits["_source"]) & reached, "left_semi").select("doc_id", "source").distinct().withColumn("full", F.lit(True))
     signing = doc.groupBy("source").agg(F.avg(F.col("signed").cast("double")).alias("_share")).where(F.col("_share") >= SIGNED_SHARE).select(F.col("source").alias("_source"), F.lit(True).alias("signs"))
-    # words that exist, and how lines of a kind end; only for the ends in question
-    known = facts.where("tag = 'word'").groupBy("region", "word").agg(F.sum("n").alias("known")).where(F.col("known") >= WORD_LEAST)
-    # a word that was cut is unknown, and the beginning of a known one
-    prefixes = known.where(F.length("word") > 1).select("region", F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substr("word", F.lit(1), i))).alias("word")).distinct().withColumn("begins", F.lit(True))
+    # how often words stand inside texts, and how lines of a kind end
+    known = facts.where("tag = 'word'").groupBy("region", "word").agg(F.sum("n").alias("known"))
+    # a word that was cut is rare beside the longer words that it begins
+    prefixes = known.where(F.length("word") > 1).select("region", "known", F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substr("word", F.lit(1), i))).alias("word")).groupBy("region", "word").agg(F.sum("known").alias("begun"))
     ends = facts.where("tag = 'line'").groupBy("kind", "head", "final").agg(F.sum("n").alias("n_like"))
     like = ends.groupBy("kind", "head").agg(F.sum("n_like").alias("n_kind"))
     # an unfinished sentence of common words after finished ones; foreign words may be a quotation
@@ -289,7 +292,7 @@ def judge_texts(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.when(F.col("cut") != "", F.col("cut"))
         .when(F.col("signs") & ~F.col("signed"), "signature missing")
         .when(F.col("full") & open_end, "stops at the limit of its source")
-        .when(open_end & F.col("begins") & F.col("known").isNull(), "stops inside a word")
+        .when(open_end & (F.coalesce("known", F.lit(0)) <= WORD_SHARE * F.col("begun")), "stops inside a word")
         .when(open_end & (F.col("n_kind") >= KIND_LEAST) & (F.coalesce("n_like", F.lit(0)) <= KIND_SHARE * F.col("n_kind")), "ends unlike its kind of line")
         .when(open_end & F.col("prose"), "stops inside a sentence")
     )
