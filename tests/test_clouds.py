@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from timberline.functions.formulas import formula_column
 from timberline.functions.palette import PALETTE, ramp, rgb
 from timberline.operators import color, eigen, fits, graph, grid, hough, patches, sampling, spatial, trees
+from timberline.plans import reference_queries
 from timberline.runtime import Workspace
 from timberline.sources import las_file, tables
 
@@ -390,3 +392,36 @@ def test_entry_works_without_the_llm_package():
 
     q, sql = e.queries(), e.oracle_sql()
     assert set(sql) <= set(q) and "p2_found" in q and "p4_found" in q
+
+
+def test_queries_over_the_whole_cloud(spark, las, tmp_path):
+    """Points below and above the slice have rows and are neighbours."""
+    q = reference_queries.QUERIES
+    rnd = np.random.default_rng(4)
+    p = rnd.uniform((0, 0, 0), (1.2, 1.2, 4), (150, 3))
+    las([(i, *map(float, r)) for i, r in enumerate(p)]).write.parquet(str(tmp_path / "las.parquet"))
+    rows = lambda name: q[name](spark, str(tmp_path)).collect()
+    d = p[None] - p[:, None]
+    dist, flat = np.sqrt((d**2).sum(2)), np.hypot(d[..., 0], d[..., 1])
+    large = reference_queries.LARGE
+    near = (dist <= large).sum(1)
+    assert {r.id: r.NumNeighbors for r in rows("eigen_metrics_full")} == dict(enumerate(near)) == {r.id: r.NumNeighbors for r in rows("eigen_density_cloud")}
+    assert {r.id: r.n for r in rows("neighborhood_covariance_cloud")} == dict(enumerate(near)) and len(rows("eigen_invariants_cloud")) == 150
+    assert {r.id: r.n for r in rows("count_in_disc_cloud")} == dict(enumerate((flat <= large).sum(1)))
+    assert {r.id: r.n for r in rows("count_in_sphere_cloud")} == dict(enumerate((dist <= reference_queries.SPHERE).sum(1)))
+    for r in rows("knn_within_cloud"):
+        assert np.argsort(dist[r.l_id])[r.rank] == r.r_id and dist[r.l_id, r.r_id] <= large
+    links = {(a, b) for a in range(150) for b in np.argsort(dist[a])[1:51] if dist[a, b] <= 0.33}
+    links |= {(b, a) for a, b in links}
+    assert {(r.src, r.dst) for r in rows("graph_edges_cloud")} == links
+    assert {r.node: r.degree for r in rows("graph_degree_cloud")} == dict(Counter(a for a, _ in links))
+    part = list(range(150))
+    for _ in part:
+        part = [min(part[b] for b in np.flatnonzero(dist[a] <= reference_queries.LONGEST)) for a in range(150)]
+    assert {r.node: r.component for r in rows("connected_points_cloud")} == dict(enumerate(part))
+    for r in rows("pcv_cloud"):
+        sky = []
+        for t in 2 * math.pi * np.arange(60) / 60:
+            seen = [math.atan2(d[r.id, j, 2], flat[r.id, j]) for j in range(150) if j != r.id and dist[r.id, j] <= 1 and d[r.id, j, 0] * math.cos(t) + d[r.id, j, 1] * math.sin(t) > 0.7 * flat[r.id, j]]
+            sky.append(math.pi / 2 - max(seen) if seen else math.pi / 2)
+        assert abs(r.value - np.mean(sky)) < 1e-9

@@ -56,12 +56,12 @@ def _off_ties(c):
     return F.round(c + 3e-11, 7)
 
 
-def count_in_disc(spark, sf_dir):
-    return spatial.count_in_disc(slice_of(spark, sf_dir), LARGE)
+def count_in_disc(spark, sf_dir, points=slice_of):
+    return spatial.count_in_disc(points(spark, sf_dir), LARGE)
 
 
-def count_in_sphere(spark, sf_dir):
-    return spatial.count_in_sphere(slice_of(spark, sf_dir), SPHERE)
+def count_in_sphere(spark, sf_dir, points=slice_of):
+    return spatial.count_in_sphere(points(spark, sf_dir), SPHERE)
 
 
 def relative_density(spark, sf_dir):
@@ -114,30 +114,30 @@ def pixel_metrics(spark, sf_dir):
     return p.select("row_", "col_", "n", "top", F.round(F.col("q")[0], 6).alias("z01"), F.round(F.col("q")[1], 6).alias("z50"), F.round(F.col("q")[2], 6).alias("z99"), _r("sd"))
 
 
-def neighborhood_covariance(spark, sf_dir):
-    s = slice_of(spark, sf_dir)
+def neighborhood_covariance(spark, sf_dir, points=slice_of):
+    s = points(spark, sf_dir)
     c = eigen.covariances(spatial.radius_pairs(s, s, LARGE))
     return c.select("id", "n", *[_off_ties(F.col(x)).alias(x) for x in ("cxx", "cxy", "cxz", "cyy", "cyz", "czz")])
 
 
-def eigen_density(spark, sf_dir):
-    m = eigen.eigen_metrics(slice_of(spark, sf_dir), LARGE, curvature=False)
+def eigen_density(spark, sf_dir, points=slice_of):
+    m = eigen.eigen_metrics(points(spark, sf_dir), LARGE, curvature=False)
     return m.select("id", _r("SurfaceDensity"), _r("VolumeDensity"), "NumNeighbors")
 
 
-def eigen_invariants(spark, sf_dir):
+def eigen_invariants(spark, sf_dir, points=slice_of):
     """Sum, sum of products and product of the eigenvalues, which SQL gets without an eigensolver."""
-    m = eigen.eigen_metrics(slice_of(spark, sf_dir), LARGE, curvature=False)
+    m = eigen.eigen_metrics(points(spark, sf_dir), LARGE, curvature=False)
     a, b, c = F.col("eLargest"), F.col("eMedium"), F.col("eSmallest")
     return m.select("id", _off_ties(F.col("eSum")).alias("eSum"), _off_ties(a * b + a * c + b * c).alias("minors"), _off_ties(a * b * c).alias("det"))
 
 
 def eigen_metrics_full(spark, sf_dir):
-    return eigen.eigen_metrics(slice_of(spark, sf_dir), LARGE)
+    return eigen.eigen_metrics(cloud(spark, sf_dir), LARGE)
 
 
-def knn_within(spark, sf_dir):
-    return spatial.knn_within(slice_of(spark, sf_dir), 5, LARGE).select("l_id", "r_id", "rank", _r("dist"))
+def knn_within(spark, sf_dir, points=slice_of):
+    return spatial.knn_within(points(spark, sf_dir), 5, LARGE).select("l_id", "r_id", "rank", _r("dist"))
 
 
 def nearest_seed(spark, sf_dir):
@@ -164,9 +164,9 @@ def graph_degree(spark, sf_dir):
     return graph.degrees(graph.knn_edges(slice_of(spark, sf_dir), 5, LONGEST))
 
 
-def connected_points(spark, sf_dir):
+def connected_points(spark, sf_dir, points=slice_of):
     work = Workspace(spark, "components")
-    s = work.put("slice", slice_of(spark, sf_dir))
+    s = work.put("slice", points(spark, sf_dir))
     e = spatial.radius_pairs(s, s, LONGEST).where("l_id < r_id").select(F.col("l_id").alias("a"), F.col("r_id").alias("b"))
     return graph.components(work.put("pairs", e), work, s.select(F.col("id").alias("node")))
 
@@ -292,6 +292,28 @@ def color_raster(spark, sf_dir):
     return color.by_raster(cloud(spark, sf_dir), h, h.withColumn("value", F.col("value") / 2), h.withColumn("value", F.col("value") / 4), 10.0)
 
 
+def pcv_cloud(spark, sf_dir):
+    return color.sky_visibility(cloud(spark, sf_dir))
+
+
+def graph_edges_cloud(spark, sf_dir):
+    return graph.undirected(graph.knn_edges(cloud(spark, sf_dir)))
+
+
+def graph_degree_cloud(spark, sf_dir):
+    return graph.degrees(graph.knn_edges(cloud(spark, sf_dir)))
+
+
+def _over_cloud(query):
+    """The query over all usable points; under its own name it keeps to the slice, as its SQL does."""
+
+    def run(spark, sf_dir):
+        return query(spark, sf_dir, cloud)
+
+    run.__name__ = f"{query.__name__}_cloud"
+    return run
+
+
 def _blend(method):
     def run(spark, sf_dir):
         c = cloud(spark, sf_dir)
@@ -396,6 +418,8 @@ tree_height crown_base_height tree_id_mismatch crown_area tree_attributes raster
 connected_cells polygon_area filled_holes closed_cells zonal_stats extract_cells color_attr color_raster pcv ssao depth_map
 hough_votes hough_centre hough_centres disc_groups tree_map normal_votes stem_fits crown_volume segment_dense tile_bounds stem_layers pixel_counts locate_trees segment_points rotation""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
+QUERIES |= {f"{q.__name__}_cloud": _over_cloud(q) for q in (count_in_disc, count_in_sphere, neighborhood_covariance, eigen_density, eigen_invariants, knn_within, connected_points)}
+QUERIES |= {f.__name__: f for f in (pcv_cloud, graph_edges_cloud, graph_degree_cloud)}
 QUERIES |= {f"blend_{m}": _blend(m) for m in color.BLENDS}
 QUERIES |= {"cylinder_ransac": _cylinders("ransac", n=10), "cylinder_irls": _cylinders("irls"), "cylinder_nm": _cylinders("nm"), "cylinder_bf": _cylinders("bf", n=8, max_angle=2, n_best=5)}
 
