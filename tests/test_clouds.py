@@ -425,3 +425,16 @@ def test_queries_over_the_whole_cloud(spark, las, tmp_path):
             seen = [math.atan2(d[r.id, j, 2], flat[r.id, j]) for j in range(150) if j != r.id and dist[r.id, j] <= 1 and d[r.id, j, 0] * math.cos(t) + d[r.id, j, 1] * math.sin(t) > 0.7 * flat[r.id, j]]
             sky.append(math.pi / 2 - max(seen) if seen else math.pi / 2)
         assert abs(r.value - np.mean(sky)) < 1e-9
+
+
+def test_centres_of_one_cell_and_chains(spark):
+    rnd = random.Random(2)
+    peaks = {(3, 3): 90, (3 + 13, 3 + 13): 50} | {(100 + 10 * i, 100): 60 - i for i in range(8)}  # 13 px each way: 0.9 m
+    peaks |= {(rnd.randrange(200, 300), rnd.randrange(100)): rnd.randrange(3, 40) for _ in range(400)}
+    rows = [(1, *k, v) for k, v in peaks.items()]
+    want = []
+    for _, x, y, v in sorted(rows, key=lambda r: (-r[3], r[0], r[2], r[1])):
+        if all(math.hypot(x - a, y - b) > 15 for a, b in want):
+            want.append((x, y))
+    got = hough.merge_centres(spark.createDataFrame(rows, "step int, px int, py int, votes long"), 0.05, 0.25).collect()
+    assert len(got) == len(want) and {(r.px, r.py) for r in got} == set(want) and {(3, 3), (16, 16), (120, 100)} <= set(want)
