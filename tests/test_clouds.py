@@ -438,3 +438,12 @@ def test_centres_of_one_cell_and_chains(spark):
             want.append((x, y))
     got = hough.merge_centres(spark.createDataFrame(rows, "step int, px int, py int, votes long"), 0.05, 0.25).collect()
     assert len(got) == len(want) and {(r.px, r.py) for r in got} == set(want) and {(3, 3), (16, 16), (120, 100)} <= set(want)
+
+
+def test_circle_through_the_rim_of_a_disc(spark):
+    disc = [(i + 5, j - 40, label) for i in range(-25, 26) for j in range(-25, 26) for label, r in (("a", 20), ("b", 8)) if i * i + j * j <= r * r]
+    cells = spark.createDataFrame(disc + [(500, 500, "c")], "row_ int, col_ int, label string")
+    rim = grid.rim_cells(cells).select("label", grid.pack(F.col("row_"), F.col("col_")).alias("id"), F.col("col_").cast("double").alias("x"), F.col("row_").cast("double").alias("y"))
+    got = {r.label: r for r in fits.landau_groups(rim, "label").collect()}
+    assert rim.where("label = 'c'").count() == 1
+    assert abs(got["a"].r - 20) < 1 and abs(got["b"].r - 8) < 1 and abs(got["a"].cx + 40) < 0.1 and abs(got["a"].cy - 5) < 0.1

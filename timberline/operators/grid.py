@@ -43,6 +43,15 @@ def pack(row: Column, col: Column) -> Column:
     return (row.cast("long") + _BIAS) * (1 << 31) + (col.cast("long") + _BIAS)
 
 
+def rim_cells(cells: DataFrame) -> DataFrame:
+    """The cells of (row_, col_, label) that lack a 4-neighbour of their label."""
+    o = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 0), (0, 1), (0, -1), (1, 0), (-1, 0))])).alias("o")
+    around = cells.select("label", "row_", "col_").distinct().select("label", "row_", "col_", o)
+    n = around.select("label", (F.col("row_") + F.col("o.i")).alias("row_"), (F.col("col_") + F.col("o.j")).alias("col_"), ((F.col("o.i") == 0) & (F.col("o.j") == 0)).alias("own"))
+    rim = n.groupBy("label", "row_", "col_").agg(F.count("*").alias("n"), F.max("own").alias("own")).where("own and n < 5")
+    return rim.select("row_", "col_", "label")
+
+
 def _links(cells: DataFrame, *by: str) -> DataFrame:
     """Pairs of 4-neighbours among the cells as (by..., row_, col_, row2, col2)."""
     step = F.explode(F.array(F.struct(F.lit(0).alias("r"), F.lit(1).alias("c")), F.struct(F.lit(1).alias("r"), F.lit(0).alias("c")))).alias("s")

@@ -226,7 +226,7 @@ def locate_trees(
     tops = grid.zonal(fine, canopy, {"top": F.max("top")})
     tall = (F.col("high") - F.col("low") > 0.5 * (high - low)) & (F.col("low") < 1.25 * low) & (F.col("top") >= high) & (F.col("SDvert") < deviation)
     kept = zones.join(tops, "label").where(tall).select("label")
-    rim = cells.join(kept, "label", "left_semi").select("label", grid.pack(F.col("row_"), F.col("col_")).alias("id"), ((F.col("col_") + 0.5) * res).alias("x"), ((F.col("row_") + 0.5) * res).alias("y"))
+    rim = grid.rim_cells(cells.join(kept, "label", "left_semi")).select("label", grid.pack(F.col("row_"), F.col("col_")).alias("id"), ((F.col("col_") + 0.5) * res).alias("x"), ((F.col("row_") + 0.5) * res).alias("y"))
     discs = work.put("discs", landau_groups(rim, "label").select(F.xxhash64("label").alias("circle"), "cx", "cy", "r"))
     stems = points_in_circles(p, discs, margin).join(p.where(F.col("v") >= verticality), "id").select(F.col("circle").alias("stem"), "id", "x", "y", "z")
     windows = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b")) for k, (a, b) in enumerate(((low, high), (1.1 - (1.1 - low) / 2, 1.6 + (high - 1.6) / 2), (1.1, 1.6)))])
