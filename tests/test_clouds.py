@@ -447,3 +447,16 @@ def test_circle_through_the_rim_of_a_disc(spark):
     got = {r.label: r for r in fits.landau_groups(rim, "label").collect()}
     assert rim.where("label = 'c'").count() == 1
     assert abs(got["a"].r - 20) < 1 and abs(got["b"].r - 8) < 1 and abs(got["a"].cx + 40) < 0.1 and abs(got["a"].cy - 5) < 0.1
+
+
+def test_circles_and_layers_use_all_points(spark):
+    p = cylinder(r=0.2, h=3.0, n=5000, noise=0.004, seed=8)
+    df = cloud(spark, p).withColumn("tree_id", F.lit(1))
+    c, e = fits.circle_irls(p[:, 0], p[:, 1])
+    got = fits.fit_circles(df, "tree_id", "irls").first()
+    assert np.allclose([got.cx, got.cy, got.radius, got.err], [*c, e])
+    got = fits.landau_groups(df, "tree_id").first()
+    assert np.allclose([got.cx, got.cy, got.r], fits.landau_circle(p[:, 0], p[:, 1]))
+    one = hough.stem_layers(df).collect()
+    twice = hough.stem_layers(df.unionByName(df.withColumn("id", F.col("id") + 100000))).collect()
+    assert [tuple(r) for r in one] == [tuple(r) for r in twice] and all(r.votes > 0 for r in one)

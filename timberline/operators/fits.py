@@ -309,8 +309,7 @@ def fit_circles(points: DataFrame, key: str, method: str = "irls", n: int = 5, i
             out = [[k[0], *map(float, p)]]
         return pd.DataFrame(out, columns=[key, "cx", "cy", "radius", "err"])
 
-    size = DRAW_POINTS if method == "ransac" else FIT_POINTS
-    return bounded_sample(rows.select(key, "id", "x", "y"), [key], size, seed).groupBy(key).applyInPandas(run, f"`{key}` {kind}, cx double, cy double, radius double, err double")
+    return rows.select(key, "id", "x", "y").groupBy(key).applyInPandas(run, f"`{key}` {kind}, cx double, cy double, radius double, err double")
 
 
 def bounded_sample(points: DataFrame, key: list[str], size: int, seed: int = 0) -> DataFrame:
@@ -383,11 +382,11 @@ def landau_circle(x: np.ndarray, y: np.ndarray, rounds: int = 50, eps: float = 1
 
 
 def landau_groups(points: DataFrame, key: str) -> DataFrame:
-    """(key, cx, cy, r) of each group of (key, id, x, y), from at most DRAW_POINTS points by hash order."""
+    """(key, cx, cy, r) of each group of (key, id, x, y), from all its points."""
     kind = points.schema[key].dataType.simpleString()
 
     def run(k: tuple, f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("id")
         return pd.DataFrame([[k[0], *landau_circle(f["x"].to_numpy(), f["y"].to_numpy())]], columns=[key, "cx", "cy", "r"])
 
-    return bounded_sample(points.select(key, "id", "x", "y"), [key], DRAW_POINTS).groupBy(key).applyInPandas(run, f"`{key}` {kind}, cx double, cy double, r double")
+    return points.select(key, "id", "x", "y").groupBy(key).applyInPandas(run, f"`{key}` {kind}, cx double, cy double, r double")
