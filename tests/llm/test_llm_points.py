@@ -173,3 +173,28 @@ def test_striking_trees(spark, las):
     rows = [(i, 0.0, 0.0, 20.0 if i % 10 == 0 else 1.0) for i in range(60)] + [(100 + i, 0.0, 0.0, 1.0) for i in range(29)]
     df = las(rows, treeID=[0] * 60 + [7] * 29, verticality=[0.7] * 60 + [0.9] * 29)
     assert {tuple(r) for r in percentiles.striking_trees(df).collect()} == {(0, "verticality"), (0, "Z")}
+
+
+@pytest.mark.parametrize("kind", ["even", "clustered", "grid"])
+def test_lists_over_many_blocks(spark, kind):
+    """Blocks of a few vectors: links cross their borders, and the check of balls that reach out is exact."""
+    g = np.random.default_rng(11)
+    x = {
+        "even": lambda: g.integers(-4000, 4000, (1200, 3)),
+        "clustered": lambda: np.concatenate([g.integers(0, 10**7, (30, 1)).repeat(3, 1) + g.integers(0, 200, (30, 3)), g.normal(0, 30, (1100, 3)).astype(int), [[-(10**8), 5, 5]]]),
+        "grid": lambda: np.stack(np.meshgrid(*[np.arange(10) * 100] * 3), -1).reshape(-1, 3),
+    }[kind]()
+    ids = g.permutation(len(x)) + 1
+    df = spark.createDataFrame([(int(i), *map(int, v)) for i, v in zip(ids, x)], "id long, x long, y long, z long")
+    got = {tuple(r) for r in neighbors.nearest_pairs(df, block=60).collect()}
+    want = _nearest(x, ids)
+    if kind == "clustered":  # crowded places hold back nothing either
+        assert len({tuple(v) for v in x.tolist()}) < len(x)
+    assert got == want
+    work = Workspace(spark, "test")
+    lists, low, shift = neighbors.neighbour_lists(neighbors.thin_places(df, 3, work)[0], work, block=60)
+    assert lists.select("block").distinct().count() >= 10 and lists.groupBy("id").count().where("count > 1").count() == 0
+    found = neighbors.check_lists(lists, low, shift, 3, work).agg(F.avg(F.col("found").cast("double"))).first()[0]
+    assert found >= 0.9
+    with pytest.raises(RuntimeError):
+        neighbors.neighbour_lists(df, work, max_rounds=1, least_change=-1.0)
