@@ -107,11 +107,11 @@ def test_leaks_against_edit_distance(spark):
     want = {(d, i) for d, w in docs for i, t in items if len(t) >= 30 and distance(t, w) <= 3}
     got = leaks.find_leaks(table, its).collect()
     assert {tuple(r) for r in got} == want and len(got) == len(want) and 20 < len(want) < 155
-    leaks.ITEMS_PER_BLOCK, old = 3, leaks.ITEMS_PER_BLOCK
+    leaks.MAX_BROADCAST_ROWS, old = 0, leaks.MAX_BROADCAST_ROWS  # by shuffled joins
     try:
         assert {tuple(r) for r in leaks.find_leaks(table, its).collect()} == want
     finally:
-        leaks.ITEMS_PER_BLOCK = old
+        leaks.MAX_BROADCAST_ROWS = old
     assert leaks.find_leaks(table.limit(0), its).count() == 0 and leaks.find_leaks(table, its.limit(0)).count() == 0
 
 
@@ -191,3 +191,38 @@ def test_cut_words_by_share(spark, size):
     rows += [(9000, "Move\n\nIt reads the poin", "feed"), (9001, "Add\n\nCalled quixo", "feed"), (9002, "Move\n\nIt reads the point in", "feed"), (9003, "Move\n\nIt reads reader.h", "feed")]
     got = truncation.find_truncated(spark.createDataFrame(rows, "doc_id long, text string, source string"))
     assert {r.doc_id for r in got.collect()} == {9000, 9001}
+
+
+@pytest.mark.parametrize(
+    "text",
+    ['He said "this is a long\nquotation that goes on', "call(a,\n  b, c", '{ "a": [1,\n 2', '<a href="x">link text', "list {a, b", "the path ends in C:\\", "it prints \\u00", "see <em>this\n\nand more", "Run:\n```\nmake all\nmake te",
+     "fetch %E3%81%8", "Tom &am", "a family 👩‍", "it prints \\x4"],
+)
+def test_stack_over_the_whole_text(text):
+    assert truncation.read_text(text)["cut"]
+
+
+@pytest.mark.parametrize(
+    "text",
+    ['He said "this is\nlong" and went', "call(a,\n  b)", '{ "a": [1,\n 2] }', '<a href="x">link\ntext</a> here', "Compare a < b and 5\" wide\n\nNext one", "it's the users' own", "line<br>next", "use <file> there", "Run:\n```\nf(x\n```\n", "50% of it", "R&D",
+     "an odd ( here\n\nbut it goes on", "a \\\\", "vector<int> and map<a, b>", "key: value\nother text"],
+)
+def test_whole_texts_are_not_cut(text):
+    assert not truncation.read_text(text)["cut"]
+
+
+def test_blobs_and_terminators(spark):
+    blob = "Add it\n\ndiff --git a/x.bin b/x.bin\nnew file mode 100644\nGIT binary patch\nliteral 8\n" + "H" + "a" * 10 + "\n\nliteral 0\nHcmV?d00001\n"
+    assert not truncation.read_text(blob)["cut"] and not truncation.read_text(blob + "-- \n1.2\n")["cut"] and not truncation.read_text(blob.rstrip())["cut"]
+    assert truncation.read_text(blob[:-5])["cut"] and truncation.read_text(blob[: blob.index("literal 0") + 5])["cut"]
+    # a list shows its texts' own terminator, also before a last line, and one that stops inside it
+    rows = [(i, f"Move it {i}.\n***\nlist {i}-{i}", "list") for i in range(30)] + [(100, "Move it.\n***\nlist 4", "list"), (101, "Move it on.\n", "list"), (102, "Go.\n***\nlist 1-2\nSent late.\n", "list"), (103, "Move it on.\n", "other")]
+    got = truncation.find_truncated(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert {r.doc_id for r in got.collect()} == {100, 101}
+
+
+def test_rates_stay_when_the_corpus_is_repeated(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "source")
+    once = {r.source: r.share for r in truncation.truncation_rates(docs).collect()}
+    many = {r.source: r.share for r in truncation.truncation_rates(docs.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(10)))).select("doc_id", "text", "source")).collect()}
+    assert set(once) == set(many) and all(abs(once[s] - many[s]) <= 0.02 for s in once)
