@@ -8,9 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.palette import ramp
-from .grid import extract
 from .sampling import hash01
-from .spatial import check_radius, radius_pairs
+from .spatial import cell, check_radius, radius_pairs
 
 METHODS = ("attr", "rgb", "pcv", "ssao")
 BLENDS = ("alpha", "multiply", "screen", "overlay")
@@ -37,9 +36,10 @@ def by_raster(points: DataFrame, red: DataFrame, green: DataFrame, blue: DataFra
     """(id, R, G, B) from the cells of three rasters; outside and null are 0; if no red value exceeds 1, all
     are shares of 255; truncated."""
     scale = red.agg(F.when(F.max("value") <= 1, 255.0).otherwise(1.0).alias("scale"))
-    out = points.select("id").join(F.broadcast(scale), F.lit(True))
-    for name, raster in (("R", red), ("G", green), ("B", blue)):
-        out = out.join(extract(points, raster, res, origin).withColumnRenamed("value", name), "id")
+    bands = [r.select("row_", "col_", F.col("value").alias("v"), F.lit(n).alias("band")) for n, r in (("R", red), ("G", green), ("B", blue))]
+    wide = bands[0].unionByName(bands[1]).unionByName(bands[2]).groupBy("row_", "col_").agg(*[F.max(F.when(F.col("band") == n, F.col("v"))).alias(n) for n in "RGB"])
+    at = points.select("id", cell(F.col("y"), res, origin[1]).cast("int").alias("row_"), cell(F.col("x"), res, origin[0]).cast("int").alias("col_"))
+    out = at.join(wide, ["row_", "col_"], "left").join(F.broadcast(scale), F.lit(True))
     clip = lambda c: F.greatest(F.lit(0), F.least(F.lit(255), (F.coalesce(F.nanvl(F.col(c), F.lit(0.0)), F.lit(0.0)) * F.col("scale")).cast("int"))).alias(c)
     return out.select("id", clip("R"), clip("G"), clip("B"))
 

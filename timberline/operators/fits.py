@@ -1,8 +1,9 @@
 """Circles and cylinders fitted per group of points.
 
-Algebraic circles are plain SQL sums. The robust fits work on a bounded sample per group, chosen by hash
-order, in one vectorised task call per group: the sample is the method's own (it fits subsets of points), so
-a group of any size costs the same. Random choices are seeded by the group's key.
+Algebraic circles are plain SQL sums. Fits of random subsets take them from all points of their group: a
+group of any size sends as many points as its subsets need, the first ones in an order by hash, each round
+the next ones; a group that is smaller than this goes whole and is drawn from. Random choices are seeded by
+the group's key.
 """
 
 from __future__ import annotations
@@ -19,8 +20,10 @@ from .sampling import hash01
 
 CYLINDER = ["rho", "theta", "phi", "alpha", "radius", "err", "px", "py", "pz"]
 TILTED = ["x", "y", "radius", "err", "ax", "ay"]
-#: Points that nm and irls fit; points from which ransac and bf draw their subsets.
-FIT_POINTS, DRAW_POINTS = 100, 2000
+#: Points that nm and irls fit, as in the method.
+FIT_POINTS = 100
+#: Groups of up to so many points go whole to their subsets' draws.
+WHOLE_POINTS = 20_000
 MAX_ITERATIONS, TOLERANCE = 2000, 1e-8
 
 
@@ -120,8 +123,19 @@ def fit_irls(points: np.ndarray) -> tuple[np.ndarray, float]:
 
 
 def _rounds(times: int, n: int, inliers: float, conf: float) -> int:
+    """``times`` as often as one subset without an outlier takes with the given confidence."""
     miss = 1 - inliers**n
-    return max(1, times if miss <= 0 else math.ceil(times * math.log(max(1 - conf, 1e-300)) / math.log(miss)))
+    return times if miss <= 0 else max(1, times * math.ceil(math.log(max(1 - conf, 1e-300)) / math.log(miss)))
+
+
+def _draws(size: int, total: int, rounds: int, n: int, rng: np.random.Generator) -> np.ndarray:
+    """(rounds, n) places of the subsets. Of a group that came whole each subset is drawn by itself; the rows
+    of a larger one came in random order, and each round takes the next."""
+    if total > size and size >= rounds * n:
+        return np.arange(rounds * n).reshape(rounds, n)
+    if size <= 4 * n:
+        return np.argsort(rng.random((rounds, size)), axis=1)[:, :n]
+    return np.stack([rng.choice(size, n, replace=False) for _ in range(rounds)])
 
 
 def nelder_mead_many(f, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -187,11 +201,10 @@ def fit_many(clouds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return p, np.where(done, v, np.inf)
 
 
-def fit_ransac(points: np.ndarray, n: int, inliers: float, conf: float, rng: np.random.Generator) -> tuple[np.ndarray, float]:
+def fit_ransac(points: np.ndarray, n: int, inliers: float, conf: float, rng: np.random.Generator, total: int | None = None) -> tuple[np.ndarray, float]:
     if len(points) <= n:
         return fit_nm(points)
-    draws = np.stack([rng.choice(len(points), n, replace=False) for _ in range(_rounds(5, n, inliers, conf))])
-    p, e = fit_many(points[draws])
+    p, e = fit_many(points[_draws(len(points), total or len(points), _rounds(5, n, inliers, conf), n, rng)])
     k = int(e.argmin())
     return p[k], float(e[k])
 
@@ -212,13 +225,13 @@ def circles_ls(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.column_stack([a + mx[:, 0], b + my[:, 0], r, err])
 
 
-def ransac_circle(x: np.ndarray, y: np.ndarray, n: int, inliers: float, conf: float, n_best: int, rng: np.random.Generator) -> np.ndarray:
+def ransac_circle(x: np.ndarray, y: np.ndarray, n: int, inliers: float, conf: float, n_best: int, rng: np.random.Generator, total: int | None = None) -> np.ndarray:
     """(x, y, radius, err) from many subsets: the best one, or the median of the n_best + 2 best. The error
-    divides by the size of the whole cloud, as subsets of one cloud are compared."""
+    divides by the size of the whole group, ``total``, of which x and y may be the first in random order."""
     k = _rounds(n_best + 5, n, inliers, conf)
-    draws = np.argsort(rng.random((k, len(x))), axis=1)[:, :n] if len(x) <= 4 * n else np.stack([rng.choice(len(x), n, replace=False) for _ in range(k)])
+    draws = _draws(len(x), total or len(x), k, n, rng)
     c = circles_ls(x[draws], y[draws])
-    c[:, 3] = np.sqrt(c[:, 3] / len(x))
+    c[:, 3] = np.sqrt(c[:, 3] / (total or len(x)))
     c = c[np.isfinite(c).all(1)]
     if not len(c):
         return np.full(4, np.nan)
@@ -234,29 +247,31 @@ def rotation(ax: float, ay: float) -> np.ndarray:
     return ry @ rx
 
 
-def fit_tilted(points: np.ndarray, n: int, inliers: float, conf: float, max_angle: int, n_best: int, rng: np.random.Generator) -> np.ndarray:
-    """(x, y, radius, err, ax, ay): of all whole-degree tilts the one with the best circle."""
+def fit_tilted(points: np.ndarray, n: int, inliers: float, conf: float, max_angle: int, n_best: int, rng: np.random.Generator, total: int | None = None, ax_only: int | None = None) -> np.ndarray:
+    """(x, y, radius, err, ax, ay): of all whole-degree tilts the one with the best circle, the first on ties;
+    of the tilts about x only ``ax_only`` if that is given."""
     n = min(n, len(points) - 1) if len(points) > 3 else 3
     best = np.full(6, np.nan)
-    for ax in range(-max_angle, max_angle + 1):
+    for ax in range(-max_angle, max_angle + 1) if ax_only is None else (ax_only,):
         for ay in range(-max_angle, max_angle + 1):
             t = points @ rotation(ax, ay)
-            c = ransac_circle(t[:, 0], t[:, 1], n, inliers, conf, n_best, rng)
+            c = ransac_circle(t[:, 0], t[:, 1], n, inliers, conf, n_best, rng, total)
             if np.isfinite(c[3]) and not c[3] >= best[3]:
                 best = np.array([*c, ax, ay])
     return best
 
 
-def fit_cylinder(points: np.ndarray, method: str = "ransac", n: int = 5, inliers: float = 0.9, conf: float = 0.95, max_angle: int = 30, n_best: int = 20, seed: int = 0) -> np.ndarray | None:
+def fit_cylinder(points: np.ndarray, method: str = "ransac", n: int = 5, inliers: float = 0.9, conf: float = 0.95, max_angle: int = 30, n_best: int = 20, seed: int = 0, total: int | None = None, ax: int | None = None) -> np.ndarray | None:
     """Parameters of one cloud (k, 3), named by CYLINDER without px, py, pz, or by TILTED for ``bf``; None
-    for fewer than three points."""
+    for fewer than three points. ``total`` is the size of the group of which these are the first in random
+    order, ``ax`` the only tilt about x that bf tries."""
     if len(points) < 3:
         return None
     rng = np.random.default_rng(seed)
     if method == "bf":
-        return fit_tilted(points, n, inliers, conf, max_angle, n_best, rng)
+        return fit_tilted(points, n, inliers, conf, max_angle, n_best, rng, total, ax)
     if method == "ransac":
-        p, e = fit_ransac(points, n, inliers, conf, rng)
+        p, e = fit_ransac(points, n, inliers, conf, rng, total)
     elif method in ("nm", "irls"):
         p, e = (fit_nm if method == "nm" else fit_irls)(points[rng.permutation(len(points))[:FIT_POINTS]])
     else:
@@ -293,23 +308,25 @@ def fit_circles(points: DataFrame, key: str, method: str = "irls", n: int = 5, i
     fewer than three points and null keys have no row."""
     if method not in ("nm", "irls", "ransac"):
         raise ValueError("method must be nm, irls or ransac")
-    rows = points.where(F.col(key).isNotNull() & is_number(F.col("x")) & is_number(F.col("y")))
+    rows = points.where(F.col(key).isNotNull() & is_number(F.col("x")) & is_number(F.col("y"))).select(key, "id", "x", "y")
     kind = rows.schema[key].dataType.simpleString()
+    if method == "ransac":
+        rows = subset_rows(rows, key, _rounds(n_best + 5, n, inliers, conf) * n, seed)
 
     def run(k: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("id")
+        f = f.sort_values("_order" if method == "ransac" else "id")
         x, y = f["x"].to_numpy(), f["y"].to_numpy()
         out = []
         if len(x) > 2:
             if method == "ransac":
-                p = ransac_circle(x, y, min(n, len(x) - 1) if len(x) > 3 else 3, inliers, conf, n_best, np.random.default_rng(_seed(k[0], seed)))
+                p = ransac_circle(x, y, min(n, len(x) - 1) if len(x) > 3 else 3, inliers, conf, n_best, np.random.default_rng(_seed(k[0], seed)), int(f["_total"].iloc[0]))
             else:
                 c, e = circle_nm(x, y) if method == "nm" else circle_irls(x, y)
                 p = [*c, e]
             out = [[k[0], *map(float, p)]]
         return pd.DataFrame(out, columns=[key, "cx", "cy", "radius", "err"])
 
-    return rows.select(key, "id", "x", "y").groupBy(key).applyInPandas(run, f"`{key}` {kind}, cx double, cy double, radius double, err double")
+    return rows.groupBy(key).applyInPandas(run, f"`{key}` {kind}, cx double, cy double, radius double, err double")
 
 
 def bounded_sample(points: DataFrame, key: list[str], size: int, seed: int = 0) -> DataFrame:
@@ -318,6 +335,17 @@ def bounded_sample(points: DataFrame, key: list[str], size: int, seed: int = 0)
     return points.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= size).drop("_r")
 
 
+def subset_rows(points: DataFrame, key: str, needed: int, seed: int = 0) -> DataFrame:
+    """Rows for random subsets of ``needed`` points altogether, with the size ``_total`` of their group and a
+    random ``_order``: all rows of a group of at most WHOLE_POINTS or ``needed`` rows, else the first ones."""
+    size = max(WHOLE_POINTS, needed)
+    total = points.groupBy(key).agg(F.count("*").alias("_total"))
+    order = hash01(seed, F.col("id"))
+    first = points.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(order, "id"))).where(F.col("_r") <= size)
+    # of a larger group no more than needed; a smaller one in order of its ids, for the draws to come
+    return first.join(total, key).where((F.col("_total") <= size) | (F.col("_r") <= needed)).withColumn("_order", F.when(F.col("_total") <= size, F.col("id")).otherwise(F.col("_r"))).drop("_r")
+
+
 def fit_groups(points: DataFrame, key: str, method: str = "ransac", n: int = 5, inliers: float = 0.9, conf: float = 0.95, max_angle: int = 30, n_best: int = 20, seed: int = 0) -> DataFrame:
     """(key, parameters...): one fit per group of (key, id, x, y, z). Groups of fewer than three points and
     null keys have no row. px, py, pz are the middle of the bounding box of the whole group."""
@@ -329,15 +357,25 @@ def fit_groups(points: DataFrame, key: str, method: str = "ransac", n: int = 5,
     names = TILTED if method == "bf" else CYLINDER[:6]
     kind = rows.schema[key].dataType.simpleString()
 
+    few = method in ("nm", "irls")
+    needed = n * _rounds(n_best + 5 if method == "bf" else 5, n, inliers, conf)
+    cols = rows.select(key, "id", "x", "y", "z")
+    sample = bounded_sample(cols, [key], FIT_POINTS, seed).withColumn("_order", F.col("id")).withColumn("_total", F.lit(0)) if few else subset_rows(cols, key, needed, seed)
+
     def run(k: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("id")
-        p = fit_cylinder(f[["x", "y", "z"]].to_numpy(), method, n, inliers, conf, max_angle, n_best, _seed(k[0], seed))
+        f = f.sort_values("_order")
+        ax = int(f["_ax"].iloc[0]) if method == "bf" else None
+        p = fit_cylinder(f[["x", "y", "z"]].to_numpy(), method, n, inliers, conf, max_angle, n_best, _seed(k[0] if ax is None else f"{k[0]}/{ax}", seed), int(f["_total"].iloc[0]) or None, ax)
         return pd.DataFrame([] if p is None else [[k[0], *p]], columns=[key, *names])
 
-    sample = bounded_sample(rows.select(key, "id", "x", "y", "z"), [key], FIT_POINTS if method in ("nm", "irls") else DRAW_POINTS, seed)
-    fit = sample.groupBy(key).applyInPandas(run, f"`{key}` {kind}, " + ", ".join(f"{c} double" for c in names))
+    schema = f"`{key}` {kind}, " + ", ".join(f"{c} double" for c in names)
     if method == "bf":
-        return fit
+        # tilts about x go to tasks of their own
+        tilts = sample.withColumn("_ax", F.explode(F.sequence(F.lit(-max_angle), F.lit(max_angle))))
+        each = tilts.groupBy(key, "_ax").applyInPandas(run, schema).where(~F.isnan("err"))
+        best = each.groupBy(key).agg(F.min(F.struct("err", "ax", "ay", "x", "y", "radius")).alias("m"))
+        return best.select(key, *[F.col("m." + c).alias(c) for c in TILTED])
+    fit = sample.groupBy(key).applyInPandas(run, schema)
     box = rows.groupBy(key).agg(*[((F.min(c) + F.max(c)) / 2).alias("p" + c) for c in "xyz"])
     return fit.join(box, key)
 

@@ -9,9 +9,10 @@ from .spatial import cell, check_radius
 
 
 def hash01(seed: int, *columns: Column) -> Column:
-    """A number in [0, 1) from a hash of the columns and the seed."""
-    h = F.xxhash64(*columns, F.lit(int(seed)))
-    return F.shiftrightunsigned(h, 11).cast("double") * F.lit(2.0**-53)
+    """A number in [0, 1) from the first 52 bits of the MD5 of the columns and the seed, written out with bars
+    between them, which any SQL engine can repeat."""
+    text = F.concat_ws("|", *[c.cast("string") for c in columns], F.lit(str(int(seed))))
+    return F.conv(F.substr(F.md5(text), F.lit(1), F.lit(13)), 16, 10).cast("double") * F.lit(2.0**-52)
 
 
 def height_slice(points: DataFrame, low: float, high: float, z: str = "z") -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import Workspace
 from .points import is_number
 
 
@@ -90,6 +91,33 @@ def nearest_within(left: DataFrame, right: DataFrame, radius: float, dims: int =
     return best.select("l_id", F.col("m.r_id").alias("r_id"), F.sqrt("m.d2").alias("dist"))
 
 
+def nearest(left: DataFrame, right: DataFrame, start: float, work: Workspace, dims: int = 3) -> DataFrame:
+    """(l_id, r_id, dist): the nearest right row of each left row, however far, the smaller id on ties.
+
+    The search begins within ``start``; whoever found nothing looks four times as far, until all have an
+    answer or the reach spans everything. Left rows with a null or NaN coordinate, or all if there is no
+    right row, have none.
+    """
+    axes, work = "xyz"[:dims], work.child("nearest")
+    ok = F.lit(True)
+    for a in axes:
+        ok = ok & is_number(F.col(a))
+    right = work.put("right", right.where(ok).select("id", *axes))
+    open_ = work.put("open", left.where(ok).select("id", *axes))
+    ends = right.select(*axes).unionByName(open_.select(*axes)).agg(*[(F.max(a) - F.min(a)).alias(a) for a in axes]).first()
+    widest = sum((ends[a] or 0.0) ** 2 for a in axes) ** 0.5 * 1.001 + 1e-9
+    found, reach, turn = None, min(check_radius(start), widest), 0
+    while True:
+        some = work.put(f"found-{turn}", nearest_within(open_, right, reach, dims))
+        found = some if found is None else found.unionByName(some)
+        if reach >= widest:
+            return found
+        open_ = work.put("open", open_.join(some.select(F.col("l_id").alias("id")), "id", "left_anti"))
+        if open_.isEmpty():
+            return found
+        reach, turn = min(reach * 4, widest), turn + 1
+
+
 def points_in_circles(points: DataFrame, circles: DataFrame, margin: float = 0.0) -> DataFrame:
     """(id, circle): for each point inside some circle (closed) the smallest circle id. ``circles`` has
     circle, cx, cy, r; the margin widens them. Circles are put into cells of their own size class, so a few

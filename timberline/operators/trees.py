@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import Workspace
 from . import grid
 from .eigen import eigen_metrics
 from .fits import fit_groups, landau_groups
-from .graph import assign_to_seeds, knn_edges, shortest_paths
+from .graph import first_seeds, knn_edges
 from .points import is_number
 from .sampling import clean_number, decimate_random, height_slice, without_ground
-from .skew import aggregate_per_key, heavy_hitters, split_by_weight, top_per_key
-from .spatial import cell, nearest_within, points_in_circles, relative_density
+from .skew import top_per_key
+from .spatial import cell, nearest, nearest_within, points_in_circles, relative_density
 
-#: Points of a part whose hull corners stand for it in the hull of a tree with very many points.
+#: Points that a task gathers before it keeps only the corners of their trees' hulls.
 CHUNK = 20_000
 
 
@@ -30,10 +32,31 @@ def tree_heights(points: DataFrame) -> DataFrame:
     return top.select("tree_id", "x", "y", F.col("z").alias("height"))
 
 
+def key_quantiles(rows: DataFrame, key: str, value: str, steps: int) -> DataFrame:
+    """(key, q): the exact quantiles 0, 1/steps, ..., 1 of each non-null key, interpolated linearly.
+
+    Equal values are counted first; counts are summed up by ranges of the value and then inside them, so no
+    task holds all values of a key, however many rows it has.
+    """
+    r = rows.where(F.col(key).isNotNull() & is_number(F.col(value))).select(F.col(key).alias("_k"), F.col(value).cast("double").alias("_v"))
+    n = r.groupBy("_k", "_v").agg(F.count("*").alias("_n")).withColumn("_b", F.floor("_v"))
+    part = n.groupBy("_k", "_b").agg(F.sum("_n").alias("_m"))
+    part = part.withColumn("_skip", F.sum("_m").over(Window.partitionBy("_k").orderBy("_b")) - F.col("_m")).withColumn("_all", F.sum("_m").over(Window.partitionBy("_k")))
+    at = n.join(part.drop("_m"), ["_k", "_b"])
+    at = at.withColumn("_to", F.col("_skip") + F.sum("_n").over(Window.partitionBy("_k", "_b").orderBy("_v"))).withColumn("_from", F.col("_to") - F.col("_n"))
+    # the ranks on either side of each quantile that fall on this value
+    wanted = F.expr(f"transform(sequence(0, {steps}), i -> named_struct('i', i, 'at', (_all - 1) * (i / {steps}D)))")
+    hits = at.select("_k", "_v", F.explode(F.filter(wanted, lambda w: ((F.floor(w["at"]) >= F.col("_from")) & (F.floor(w["at"]) < F.col("_to"))) | ((F.ceil(w["at"]) >= F.col("_from")) & (F.ceil(w["at"]) < F.col("_to"))))).alias("w"))
+    share = F.col("w.at") - F.floor("w.at")
+    q = hits.groupBy("_k", F.col("w.i").alias("_i")).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.first(share).alias("_s"))
+    q = q.select("_k", F.struct("_i", F.when(F.col("_s") == 0, F.col("_lo")).otherwise((1 - F.col("_s")) * F.col("_lo") + F.col("_s") * F.col("_hi")).alias("v")).alias("_q"))
+    return q.groupBy("_k").agg(F.transform(F.array_sort(F.collect_list("_q")), lambda e: e["v"]).alias("q")).withColumnRenamed("_k", key)
+
+
 def crown_base_heights(points: DataFrame, threshold: float = 0.05) -> DataFrame:
     """(tree_id, crown_base_height): the upper end of the first step of more than ``threshold`` between
     consecutive 5 % quantiles of z; the greatest z if there is none."""
-    q = points.where(F.col("tree_id").isNotNull() & is_number(F.col("z"))).groupBy("tree_id").agg(F.percentile("z", F.array(*[F.lit(i / 20) for i in range(21)])).alias("q"))
+    q = key_quantiles(points, "tree_id", "z", 20)
     steps = F.filter(F.zip_with(F.slice("q", 1, 20), F.slice("q", 2, 20), lambda a, b: F.when(b - a > threshold, b)), lambda v: v.isNotNull())
     return q.select("tree_id", F.coalesce(F.get(steps, F.lit(0)), F.element_at("q", 21)).alias("crown_base_height"))
 
@@ -103,32 +126,49 @@ def hull_3d(p: np.ndarray) -> tuple[float, float, np.ndarray] | None:
     return abs(volume), float(np.linalg.norm(cross, axis=1).sum() / 2), p[np.unique(f)] + o
 
 
-def _corners(dims: int):
-    """Replaces the points of a group by the corners of their hull, which has the same hull."""
+def _corners(p: np.ndarray) -> np.ndarray:
+    """The corners of the hull, which has the same hull; all points where that is flat."""
+    if p.shape[1] == 2:
+        return hull_2d(p)
+    h = hull_3d(p)
+    return np.unique(p, axis=0) if h is None else h[2]
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        axes = ["x", "y", "z"][:dims]
-        p = f[axes].to_numpy()
-        if dims == 2:
-            c = hull_2d(p)
-        else:
-            h = hull_3d(p)
-            c = np.unique(p, axis=0) if h is None else h[2]
-        out = pd.DataFrame(c, columns=axes)
-        out.insert(0, "tree_id", f["tree_id"].iloc[0])
-        return out
-
-    return run
-
-
-def _hull_points(points: DataFrame, dims: int) -> DataFrame:
-    """(tree_id, x, y[, z]): of trees that hold a large share of all points only the hull corners of parts."""
+
+def _hull_points(points: DataFrame, dims: int, chunk: int = CHUNK) -> DataFrame:
+    """(tree_id, x, y[, z]): the points that can be corners of the hull of their tree.
+
+    Each task keeps the corners of the parts of the trees that it has seen, so what a tree sends on is
+    bounded by the number of tasks, not of its points; whatever its share of all rows is. Parts of fewer
+    than 64 points are sent as they are.
+    """
     axes = ["x", "y", "z"][:dims]
-    p = points.select("tree_id", *axes).distinct()
+    p = points.select("tree_id", *axes)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None
+        for f in frames:
+            held = f if held is None else pd.concat([held, f])
+            if len(held) >= chunk:
+                held = reduce(held)
+                if len(held) >= chunk // 2:  # many small trees: nothing to gain
+                    yield held
+                    held = None
+        if held is not None and len(held):
+            yield reduce(held)
+
+    def reduce(f: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for tree, part in f.groupby("tree_id", sort=False):
+            if len(part) < 64:
+                out.append(part)
+            else:
+                c = pd.DataFrame(_corners(part[axes].to_numpy()), columns=axes)
+                c.insert(0, "tree_id", tree)
+                out.append(c)
+        return pd.concat(out) if out else f
+
     kind = p.schema["tree_id"].dataType.simpleString()
-    hot, rest = split_by_weight(p, "tree_id", chunk=CHUNK)
-    thin = hot.groupBy("tree_id", "_salt").applyInPandas(_corners(dims), f"tree_id {kind}, " + ", ".join(f"{a} double" for a in axes))
-    return rest.unionByName(thin)
+    return p.mapInPandas(run, f"tree_id {kind}, " + ", ".join(f"{a} double" for a in axes))
 
 
 def crown_hulls(points: DataFrame) -> DataFrame:
@@ -237,10 +277,11 @@ def locate_trees(
     # small numbers in order of place; ranges first, so that no task numbers all trees
     order = mean.repartitionByRange("x", "y", "stem").sortWithinPartitions("x", "y", "stem").withColumn("_i", F.monotonically_increasing_id())
     order = work.put("order", order.withColumn("_p", F.shiftright("_i", 33)))
+    # one row per task of the sort
     per = order.groupBy("_p").agg(F.count("*").alias("n"))
-    skip = per.select(F.col("_p").alias("_q"), "n").join(per.select("_p"), F.col("_q") < F.col("_p")).groupBy("_p").agg(F.sum("n").alias("skip"))
-    numbered = order.join(F.broadcast(skip), "_p", "left")
-    return numbered.select((F.coalesce("skip", F.lit(0)) + F.col("_i") - F.shiftleft(F.col("_p"), 33) + 1).cast("int").alias("tree_id"), "x", "y", "z", "radius", "error")
+    skip = per.select("_p", (F.sum("n").over(Window.orderBy("_p")) - F.col("n")).alias("skip"))
+    numbered = order.join(skip, "_p")
+    return numbered.select((F.col("skip") + F.col("_i") - F.shiftleft(F.col("_p"), 33) + 1).cast("int").alias("tree_id"), "x", "y", "z", "radius", "error")
 
 
 # -- segmentation ----------------------------------------------------------------------------------------
@@ -264,7 +305,7 @@ def segment_points(
     are those of the thinned cloud without ground, 0 for unreached points and null for labels that no tree
     claims in the slice. With ``dense`` every point takes the label of the nearest thinned point, 0 beyond
     1.25 times the spacing (or ``snap``) and for ground; ``nnd`` is the distance, null beyond. An empty tree
-    table leaves all points 0.
+    table leaves all points 0. Ids of points may be below 0, but must fit into 63 bits.
     """
     ok = is_number(F.col("x")) & is_number(F.col("y")) & is_number(F.col("z"))
     all_points = points.where(ok).select("id", "x", "y", "z", "classification")
@@ -273,17 +314,16 @@ def segment_points(
     radius = clean_number(F.col("radius"), 0.01)
     t = trees.select(F.col("tree_id").cast("long").alias("tree_id"), "x", "y", radius.alias("radius")).where(F.col("tree_id").isNotNull() & is_number(F.col("x")) & is_number(F.col("y"))).groupBy("tree_id").agg(F.min("x").alias("x"), F.min("y").alias("y"), F.min("radius").alias("radius"))
     t = work.put("seeds", nudge_seeds(t, longest).withColumn("z", F.lit(breast_height)))
-    # seeds are vertices beside the points; their ids are negative
-    vertex = -1 - F.col("tree_id")
-    both = thin.select("id", "x", "y", "z").unionByName(t.select(vertex.alias("id"), "x", "y", "z"))
+    # seeds are vertices beside the points: even numbers are points, odd ones seeds
+    point, vertex = F.col("id") * 2, F.col("tree_id") * 2 + 1
+    both = thin.select(point.alias("id"), "x", "y", "z").unionByName(t.select(vertex.alias("id"), "x", "y", "z"))
     edges = work.put("edges", knn_edges(both, k, longest))
-    seeds = t.select(vertex.alias("node"), "radius")
-    paths = shortest_paths(edges, seeds, work)
-    nodes = thin.select(F.col("id").alias("node"))
-    label = work.put("labels", assign_to_seeds(paths.where("node >= 0"), seeds, nodes, formula, scaled))
-    sparse = thin.join(label.select(F.col("node").alias("id"), "seed"), "id")
-    # a tree claims the label of the slice point nearest to it
-    claim = nearest_within(t.select(F.col("tree_id").alias("id"), "x", "y", "z"), height_slice(sparse, low, high), 4 * longest)
+    label = first_seeds(edges, t.select(vertex.alias("node"), "radius"), thin.select(point.alias("node")), work, formula, scaled)
+    label = work.put("labels", label.select(F.shiftright("node", 1).alias("id"), "seed"))
+    # seeds are odd, so the number 0 of unreached points is no seed
+    sparse = thin.join(label, "id")
+    # a tree claims the label of the slice point nearest to it, however far that is
+    claim = nearest(t.select(F.col("tree_id").alias("id"), "x", "y", "z"), height_slice(sparse, low, high), longest, work)
     claim = claim.join(sparse.select(F.col("id").alias("r_id"), "seed"), "r_id").where("seed <> 0").groupBy("seed").agg(F.min("l_id").alias("tree_id"))
     named = sparse.join(claim, "seed", "left").select("id", "x", "y", "z", F.when(F.col("seed") == 0, F.lit(0)).otherwise(F.col("tree_id")).cast("int").alias("tree_id"))
     if not dense:
@@ -298,4 +338,4 @@ def segment_points(
     return out.select("id", "x", "y", "z", F.when(none, F.lit(0)).otherwise(F.col("tree_id")).alias("tree_id"), "nnd")
 
 
-__all__ = ["aggregate_per_key", "crown_base_heights", "crown_hulls", "crown_volumes", "heavy_hitters", "id_mismatches", "locate_trees", "segment_points", "tree_attributes", "tree_heights"]
+__all__ = ["crown_base_heights", "crown_hulls", "crown_volumes", "id_mismatches", "key_quantiles", "locate_trees", "segment_points", "tree_attributes", "tree_heights"]

@@ -13,6 +13,7 @@ from ..runtime import Workspace, pick, table
 from ..sources.tables import rotation_frames
 
 SMALL, LARGE = 0.1665, 0.5005
+DIRECTIONS = 60
 SPHERE = 0.2505
 #: Links between neighbours of stems stand well below this.
 LONGEST = 0.3305
@@ -35,12 +36,8 @@ def slice_of(spark, sf_dir, low=0.5, high=2.0):
 
 
 def stems(spark, sf_dir):
-    """Points of real trees at breast height."""
-    return slice_of(spark, sf_dir).where("tree_id >= 1000")
-
-
-def real_trees(spark, sf_dir):
-    return cloud(spark, sf_dir).where("tree_id >= 1000")
+    """Points with a tree, catch-all segments included."""
+    return cloud(spark, sf_dir).where("tree_id is not null")
 
 
 def habitat(spark, sf_dir):
@@ -56,11 +53,11 @@ def _off_ties(c):
     return F.round(c + 3e-11, 7)
 
 
-def count_in_disc(spark, sf_dir, points=slice_of):
+def count_in_disc(spark, sf_dir, points=cloud):
     return spatial.count_in_disc(points(spark, sf_dir), LARGE)
 
 
-def count_in_sphere(spark, sf_dir, points=slice_of):
+def count_in_sphere(spark, sf_dir, points=cloud):
     return spatial.count_in_sphere(points(spark, sf_dir), SPHERE)
 
 
@@ -114,18 +111,18 @@ def pixel_metrics(spark, sf_dir):
     return p.select("row_", "col_", "n", "top", F.round(F.col("q")[0], 6).alias("z01"), F.round(F.col("q")[1], 6).alias("z50"), F.round(F.col("q")[2], 6).alias("z99"), _r("sd"))
 
 
-def neighborhood_covariance(spark, sf_dir, points=slice_of):
+def neighborhood_covariance(spark, sf_dir, points=cloud):
     s = points(spark, sf_dir)
     c = eigen.covariances(spatial.radius_pairs(s, s, LARGE))
     return c.select("id", "n", *[_off_ties(F.col(x)).alias(x) for x in ("cxx", "cxy", "cxz", "cyy", "cyz", "czz")])
 
 
-def eigen_density(spark, sf_dir, points=slice_of):
+def eigen_density(spark, sf_dir, points=cloud):
     m = eigen.eigen_metrics(points(spark, sf_dir), LARGE, curvature=False)
     return m.select("id", _r("SurfaceDensity"), _r("VolumeDensity"), "NumNeighbors")
 
 
-def eigen_invariants(spark, sf_dir, points=slice_of):
+def eigen_invariants(spark, sf_dir, points=cloud):
     """Sum, sum of products and product of the eigenvalues, which SQL gets without an eigensolver."""
     m = eigen.eigen_metrics(points(spark, sf_dir), LARGE, curvature=False)
     a, b, c = F.col("eLargest"), F.col("eMedium"), F.col("eSmallest")
@@ -136,35 +133,35 @@ def eigen_metrics_full(spark, sf_dir):
     return eigen.eigen_metrics(cloud(spark, sf_dir), LARGE)
 
 
-def knn_within(spark, sf_dir, points=slice_of):
+def knn_within(spark, sf_dir, points=cloud):
     return spatial.knn_within(points(spark, sf_dir), 5, LARGE).select("l_id", "r_id", "rank", _r("dist"))
 
 
 def nearest_seed(spark, sf_dir):
-    """Nearest slice point of each tree."""
+    """Nearest slice point of each tree, however far."""
     t = seeds(spark, sf_dir).select(F.col("tree_id").alias("id"), "x", "y", "z")
-    return spatial.nearest_within(t, slice_of(spark, sf_dir), 1.0005).select("l_id", "r_id", _r("dist"))
+    return spatial.nearest(t, slice_of(spark, sf_dir), 0.5005, Workspace(spark, "nearest")).select("l_id", "r_id", _r("dist"))
 
 
 def point_in_disc(spark, sf_dir):
     t = seeds(spark, sf_dir).select(F.col("tree_id").alias("circle"), F.col("x").alias("cx"), F.col("y").alias("cy"), F.col("radius").alias("r"))
-    return spatial.points_in_circles(slice_of(spark, sf_dir), t, 0.0755)
+    return spatial.points_in_circles(cloud(spark, sf_dir), t, 0.0755)
 
 
 def tree_ids_from_map(spark, sf_dir):
     t = seeds(spark, sf_dir).select(F.col("tree_id").alias("order"), "tree_id", "x", "y")
-    return spatial.ids_from_map(slice_of(spark, sf_dir), t, 2.5005)
+    return spatial.ids_from_map(cloud(spark, sf_dir), t, 2.5005)
 
 
 def graph_edges(spark, sf_dir):
-    return graph.undirected(graph.knn_edges(slice_of(spark, sf_dir), 5, LONGEST)).select("src", "dst", _r("w"))
+    return graph.undirected(graph.knn_edges(cloud(spark, sf_dir), 50, LONGEST)).select("src", "dst", _r("w"))
 
 
 def graph_degree(spark, sf_dir):
-    return graph.degrees(graph.knn_edges(slice_of(spark, sf_dir), 5, LONGEST))
+    return graph.degrees(graph.knn_edges(cloud(spark, sf_dir), 50, LONGEST))
 
 
-def connected_points(spark, sf_dir, points=slice_of):
+def connected_points(spark, sf_dir, points=cloud):
     work = Workspace(spark, "components")
     s = work.put("slice", points(spark, sf_dir))
     e = spatial.radius_pairs(s, s, LONGEST).where("l_id < r_id").select(F.col("l_id").alias("a"), F.col("r_id").alias("b"))
@@ -172,13 +169,13 @@ def connected_points(spark, sf_dir, points=slice_of):
 
 
 def shortest_path_assign(spark, sf_dir):
-    """Slice points of real trees to the seed that reaches them first; seeds are the lowest ids of each tree."""
+    """Points to the seed that reaches them first through the graph; the seed of a tree is its lowest id."""
     work = Workspace(spark, "paths")
-    s = work.put("stems", stems(spark, sf_dir))
-    seed = work.put("seed", s.groupBy("tree_id").agg(F.min("id").alias("node")).select("node", F.lit(0.1).alias("radius")))
+    s = work.put("cloud", cloud(spark, sf_dir))
+    seed = work.put("seed", s.where("tree_id is not null").groupBy("tree_id").agg(F.min("id").alias("node")).select("node", F.lit(0.1).alias("radius")))
     e = work.put("knn", graph.knn_edges(s, 8, 1.0005))
-    d = graph.shortest_paths(e, seed, work)
-    return graph.assign_to_seeds(d, seed, s.select(F.col("id").alias("node"))).select("node", F.round("dist", 6).alias("dist"))
+    d = graph.first_seeds(e, seed, s.select(F.col("id").alias("node")), work)
+    return d.select("node", "seed", F.round("dist", 6).alias("dist"))
 
 
 def metabolic_scale(spark, sf_dir):
@@ -204,7 +201,7 @@ def circle_ransac(spark, sf_dir):
 
 
 def knn_distance_statistics(spark, sf_dir):
-    k = spatial.knn_within(slice_of(spark, sf_dir), 5, LARGE).groupBy(F.col("l_id").alias("id")).agg(F.sort_array(F.collect_list("dist")).alias("distances"))
+    k = spatial.knn_within(cloud(spark, sf_dir), 5, LARGE).groupBy(F.col("l_id").alias("id")).agg(F.sort_array(F.collect_list("dist")).alias("distances"))
     d = spatial.distance_statistics(k)
     return d.select("id", *[_r(c) for c in ("Median", "Min", "Max", "Mean")])
 
@@ -292,28 +289,6 @@ def color_raster(spark, sf_dir):
     return color.by_raster(cloud(spark, sf_dir), h, h.withColumn("value", F.col("value") / 2), h.withColumn("value", F.col("value") / 4), 10.0)
 
 
-def pcv_cloud(spark, sf_dir):
-    return color.sky_visibility(cloud(spark, sf_dir))
-
-
-def graph_edges_cloud(spark, sf_dir):
-    return graph.undirected(graph.knn_edges(cloud(spark, sf_dir)))
-
-
-def graph_degree_cloud(spark, sf_dir):
-    return graph.degrees(graph.knn_edges(cloud(spark, sf_dir)))
-
-
-def _over_cloud(query):
-    """The query over all usable points; under its own name it keeps to the slice, as its SQL does."""
-
-    def run(spark, sf_dir):
-        return query(spark, sf_dir, cloud)
-
-    run.__name__ = f"{query.__name__}_cloud"
-    return run
-
-
 def _blend(method):
     def run(spark, sf_dir):
         c = cloud(spark, sf_dir)
@@ -326,11 +301,11 @@ def _blend(method):
 
 
 def pcv(spark, sf_dir):
-    return color.sky_visibility(slice_of(spark, sf_dir), LARGE, 8).select("id", F.round("value", 6).alias("value"))
+    return color.sky_visibility(cloud(spark, sf_dir), 1.0005, DIRECTIONS).select("id", F.round("value", 6).alias("value"))
 
 
 def ssao(spark, sf_dir):
-    return color.screen_occlusion(cloud(spark, sf_dir), 0.5, 3, 8)
+    return color.screen_occlusion(cloud(spark, sf_dir), 0.1).select("id", F.round("value", 6).alias("value"))
 
 
 def depth_map(spark, sf_dir):
@@ -347,12 +322,12 @@ def hough_centre(spark, sf_dir):
 
 
 def stem_layers(spark, sf_dir):
-    return hough.stem_layers(real_trees(spark, sf_dir))
+    return hough.stem_layers(stems(spark, sf_dir))
 
 
 def hough_centres(spark, sf_dir):
     """Centres over the whole slice, thinned to one per surroundings."""
-    p = hough.pixel_counts(slice_of(spark, sf_dir), 0.05)
+    p = hough.pixel_counts(cloud(spark, sf_dir), 0.05)
     return hough.merge_centres(hough.hough_votes(p, 0.25, 0.05), 0.05, 0.25)
 
 
@@ -371,23 +346,33 @@ def tree_map(spark, sf_dir):
 
 
 def normal_votes(spark, sf_dir):
-    s = slice_of(spark, sf_dir)
+    s = cloud(spark, sf_dir)
     n = eigen.eigen_metrics(s, LARGE, curvature=False).where("NumNeighbors >= 3").select("id", F.col("Nx").alias("nx"), F.col("Ny").alias("ny"), F.col("Nz").alias("nz"))
     return hough.normal_votes(s.select("id", "x", "y", "z").join(n, "id"), 0.05, 0.25)
 
 
+def _segments(spark, sf_dir):
+    """Points of all trees in segments of half a metre, with the radius that the layers voted for."""
+    layers = stem_layers(spark, sf_dir).select("tree_id", F.col("layer").alias("segment"), F.col("radius").alias("hough_radius"))
+    p = sampling.slices(stems(spark, sf_dir), 0.5, 0.0).withColumnRenamed("slice", "segment")
+    return p.join(layers, ["tree_id", "segment"]).select("tree_id", "segment", "hough_radius", "id", "x", "y", "z")
+
+
 def stem_fits(spark, sf_dir):
-    p = sampling.slices(stems(spark, sf_dir), 1.0, 0.0, 2.0).withColumnRenamed("slice", "segment").withColumn("hough_radius", F.lit(0.15))
-    return hough.stem_fits(p.select("tree_id", "segment", "hough_radius", "id", "x", "y", "z"), 0.1, method="nm")
+    return hough.stem_fits(_segments(spark, sf_dir), method="irls")
+
+
+def stem_circles(spark, sf_dir):
+    return hough.stem_fits(_segments(spark, sf_dir), form="circle")
 
 
 def crown_volume(spark, sf_dir):
-    c = real_trees(spark, sf_dir)
+    c = stems(spark, sf_dir)
     return trees.crown_volumes(c, trees.crown_base_heights(c)).select("tree_id", _r("crown_volume"), _r("crown_surface"))
 
 
 def segment_dense(spark, sf_dir):
-    return trees.segment_points(cloud(spark, sf_dir), seeds(spark, sf_dir), Workspace(spark, "segment"), k=20, longest=1.0, spacing=0.25, dense=True, scaled=True)
+    return trees.segment_points(cloud(spark, sf_dir), seeds(spark, sf_dir), Workspace(spark, "segment"), longest=LONGEST, dense=True, scaled=True)
 
 
 def tile_bounds(spark, sf_dir):
@@ -399,16 +384,16 @@ def pixel_counts(spark, sf_dir):
 
 
 def locate_trees(spark, sf_dir):
-    return trees.locate_trees(cloud(spark, sf_dir), Workspace(spark, "locate"), res=0.25, grow=0.5, shrink=0.25)
+    return trees.locate_trees(cloud(spark, sf_dir), Workspace(spark, "locate"))
 
 
 def segment_points(spark, sf_dir):
-    return trees.segment_points(cloud(spark, sf_dir), seeds(spark, sf_dir), Workspace(spark, "segment"), k=20, longest=1.0, spacing=0.25)
+    return trees.segment_points(cloud(spark, sf_dir), seeds(spark, sf_dir), Workspace(spark, "segment"), longest=LONGEST)
 
 
 def rotation(spark, sf_dir):
-    f = rotation_frames(stems(spark, sf_dir), duration=1, rpm=6)
-    return f.groupBy("frame").agg(F.count("*").alias("n"), F.round(F.min("u"), 4).alias("u_min"), F.round(F.max("u"), 4).alias("u_max"))
+    f = rotation_frames(cloud(spark, sf_dir))
+    return f.groupBy("frame").agg(F.count("*").alias("n"), F.round(F.min("u"), 4).alias("u_min"), F.round(F.max("u"), 4).alias("u_max"), F.round(F.min("v"), 4).alias("v_min"), F.round(F.max("depth"), 4).alias("depth_max"))
 
 
 _NAMES = """count_in_disc count_in_sphere relative_density height_slice ground_filter voxel_first voxel_random voxel_index bernoulli_sample
@@ -418,10 +403,8 @@ tree_height crown_base_height tree_id_mismatch crown_area tree_attributes raster
 connected_cells polygon_area filled_holes closed_cells zonal_stats extract_cells color_attr color_raster pcv ssao depth_map
 hough_votes hough_centre hough_centres disc_groups tree_map normal_votes stem_fits crown_volume segment_dense tile_bounds stem_layers pixel_counts locate_trees segment_points rotation""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
-QUERIES |= {f"{q.__name__}_cloud": _over_cloud(q) for q in (count_in_disc, count_in_sphere, neighborhood_covariance, eigen_density, eigen_invariants, knn_within, connected_points)}
-QUERIES |= {f.__name__: f for f in (pcv_cloud, graph_edges_cloud, graph_degree_cloud)}
 QUERIES |= {f"blend_{m}": _blend(m) for m in color.BLENDS}
-QUERIES |= {"cylinder_ransac": _cylinders("ransac", n=10), "cylinder_irls": _cylinders("irls"), "cylinder_nm": _cylinders("nm"), "cylinder_bf": _cylinders("bf", n=8, max_angle=2, n_best=5)}
+QUERIES |= {"cylinder_ransac": _cylinders("ransac", n=10), "cylinder_irls": _cylinders("irls"), "cylinder_nm": _cylinders("nm"), "cylinder_bf": _cylinders("bf")}
 
 _CLOUD = """u AS (
   SELECT point_id AS id, min(X) AS x, min(Y) AS y, min(Z) AS z, min("treeID") AS tree_id, min(Classification) AS classification, min(verticality) AS verticality
@@ -430,7 +413,7 @@ _CLOUD = """u AS (
     AND (Classification IS NULL OR Classification <> 7) AND point_id IS NOT NULL
   GROUP BY point_id)"""
 _SLICE = _CLOUD + ",\ns AS (SELECT * FROM u WHERE z BETWEEN 0.5 AND 2.0)"
-_STEMS = _SLICE + ",\nst AS (SELECT * FROM s WHERE tree_id >= 1000)"
+_STEMS = _CLOUD + ",\nst AS (SELECT * FROM u WHERE tree_id IS NOT NULL)"
 _SEEDS = """t0 AS (SELECT DISTINCT * FROM treelocs),
 t AS (SELECT TreeID AS tree_id, min(X) AS x, min(Y) AS y, min(Z) AS z, min(CASE WHEN Radius IS NULL OR isnan(Radius) THEN 0.01::DOUBLE ELSE Radius END) AS radius FROM t0 GROUP BY TreeID)"""
 _HABITAT = "h AS (SELECT row_, col_, max(CASE WHEN NOT isnan(value) THEN value END) AS value FROM habitat_raster GROUP BY row_, col_)"
@@ -493,12 +476,12 @@ def _ramp_sql(i: int) -> str:
     return "[" + ", ".join(str(c[i]) for c in ramp(["black", "red", "white"])) + "]"
 
 
-_PCV = ", ".join(f"max(CASE WHEN (dx * {math.cos(2 * math.pi * i / 8)!r}::DOUBLE + dy * {math.sin(2 * math.pi * i / 8)!r}::DOUBLE) / h > 0.7 THEN atan2(dz, h) END) AS a{i}" for i in range(8))
-_KNN_EDGES = "e AS (SELECT l_id, r_id, sqrt(d2) AS w FROM (SELECT *, row_number() OVER (PARTITION BY l_id ORDER BY d2, r_id) AS r FROM pairs WHERE l_id <> r_id) WHERE r <= 5),\nun AS (SELECT src, dst, min(w) AS w FROM (SELECT l_id AS src, r_id AS dst, w FROM e UNION ALL SELECT r_id, l_id, w FROM e) GROUP BY src, dst)"
+_PCV = ", ".join(f"max(CASE WHEN (dx * {math.cos(2 * math.pi * i / DIRECTIONS)!r}::DOUBLE + dy * {math.sin(2 * math.pi * i / DIRECTIONS)!r}::DOUBLE) / h > 0.7 THEN atan2(dz, h) END) AS a{i}" for i in range(DIRECTIONS))
+_KNN_EDGES = "e AS (SELECT l_id, r_id, sqrt(d2) AS w FROM (SELECT *, row_number() OVER (PARTITION BY l_id ORDER BY d2, r_id) AS r FROM pairs WHERE l_id <> r_id) WHERE r <= 50),\nun AS (SELECT src, dst, min(w) AS w FROM (SELECT l_id AS src, r_id AS dst, w FROM e UNION ALL SELECT r_id, l_id, w FROM e) GROUP BY src, dst)"
 
 SQL = {
-    "count_in_disc": f"WITH {_SLICE},\n{_pairs('s', 's', LARGE, 2)}\nSELECT l_id AS id, count(*) AS n FROM pairs GROUP BY l_id",
-    "count_in_sphere": f"WITH {_SLICE},\n{_pairs('s', 's', SPHERE)}\nSELECT l_id AS id, count(*) AS n FROM pairs GROUP BY l_id",
+    "count_in_disc": f"WITH {_CLOUD},\n{_pairs('u', 'u', LARGE, 2)}\nSELECT l_id AS id, count(*) AS n FROM pairs GROUP BY l_id",
+    "count_in_sphere": f"WITH {_CLOUD},\n{_pairs('u', 'u', SPHERE)}\nSELECT l_id AS id, count(*) AS n FROM pairs GROUP BY l_id",
     "relative_density": f"""WITH {_SLICE},
 {_pairs('s', 's', LARGE, 2)},
 d AS (SELECT l_id AS id, sum(CASE WHEN d2 <= {SMALL}::DOUBLE * {SMALL}::DOUBLE THEN 1 ELSE 0 END)::DOUBLE / count(*) AS density FROM pairs GROUP BY l_id)
@@ -513,33 +496,35 @@ SELECT CAST(floor(y) AS INT) AS row_, CAST(floor(x) AS INT) AS col_, count(*) AS
     "pixel_metrics": f"""WITH {_CLOUD}
 SELECT CAST(floor(y / 5) AS INT) AS row_, CAST(floor(x / 5) AS INT) AS col_, count(*) AS n, max(z) AS top, round(quantile_cont(z, 0.01), 6) AS z01, round(quantile_cont(z, 0.5), 6) AS z50, round(quantile_cont(z, 0.99), 6) AS z99, round(stddev_samp(z), 6) AS sd
 FROM u GROUP BY 1, 2""",
-    "neighborhood_covariance": f"WITH {_SLICE},\n{_pairs('s', 's', LARGE)},\nc AS (SELECT l_id AS id, count(*) AS n, {_COV} FROM pairs GROUP BY l_id)\nSELECT id, n, " + ", ".join(f"round({c} + 3e-11, 7) AS {c}" for c in ("cxx", "cxy", "cxz", "cyy", "cyz", "czz")) + " FROM c",
-    "eigen_density": f"""WITH {_SLICE},
-{_pairs('s', 's', LARGE)},
+    "neighborhood_covariance": f"WITH {_CLOUD},\n{_pairs('u', 'u', LARGE)},\nc AS (SELECT l_id AS id, count(*) AS n, {_COV} FROM pairs GROUP BY l_id)\nSELECT id, n, " + ", ".join(f"round({c} + 3e-11, 7) AS {c}" for c in ("cxx", "cxy", "cxz", "cyy", "cyz", "czz")) + " FROM c",
+    "eigen_density": f"""WITH {_CLOUD},
+{_pairs('u', 'u', LARGE)},
 c AS (SELECT l_id AS id, count(*)::DOUBLE AS n FROM pairs GROUP BY l_id)
 SELECT id, CASE WHEN n < 3 THEN 0 ELSE round(n / (pi() * {LARGE * LARGE!r}::DOUBLE), 6) END AS "SurfaceDensity", CASE WHEN n < 3 THEN 0 ELSE round(n / (4.0::DOUBLE / 3 * pi() * {LARGE**3!r}::DOUBLE), 6) END AS "VolumeDensity", n AS "NumNeighbors" FROM c""",
-    "eigen_invariants": f"""WITH {_SLICE},
-{_pairs('s', 's', LARGE)},
+    "eigen_invariants": f"""WITH {_CLOUD},
+{_pairs('u', 'u', LARGE)},
 c AS (SELECT l_id AS id, count(*) AS n, {_COV} FROM pairs GROUP BY l_id)
 SELECT id, CASE WHEN n < 3 THEN 0 ELSE round(cxx + cyy + czz + 3e-11, 7) END AS "eSum",
   CASE WHEN n < 3 THEN 0 ELSE round(cxx * cyy - cxy * cxy + cxx * czz - cxz * cxz + cyy * czz - cyz * cyz + 3e-11, 7) END AS minors,
   CASE WHEN n < 3 THEN 0 ELSE round(cxx * (cyy * czz - cyz * cyz) - cxy * (cxy * czz - cyz * cxz) + cxz * (cxy * cyz - cyy * cxz) + 3e-11, 7) END AS det FROM c""",
-    "knn_within": f"WITH {_SLICE},\n{_pairs('s', 's', LARGE)}\nSELECT l_id, r_id, CAST(r AS INT) AS rank, round(sqrt(d2), 6) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY l_id ORDER BY d2, r_id) AS r FROM pairs WHERE l_id <> r_id) WHERE r <= 5",
-    "knn_distance_statistics": f"""WITH {_SLICE},
-{_pairs('s', 's', LARGE)},
+    "knn_within": f"WITH {_CLOUD},\n{_pairs('u', 'u', LARGE)}\nSELECT l_id, r_id, CAST(r AS INT) AS rank, round(sqrt(d2), 6) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY l_id ORDER BY d2, r_id) AS r FROM pairs WHERE l_id <> r_id) WHERE r <= 5",
+    "knn_distance_statistics": f"""WITH {_CLOUD},
+{_pairs('u', 'u', LARGE)},
 k AS (SELECT l_id AS id, list(sqrt(d2) ORDER BY d2) AS v FROM (SELECT *, row_number() OVER (PARTITION BY l_id ORDER BY d2, r_id) AS r FROM pairs WHERE l_id <> r_id) WHERE r <= 5 GROUP BY l_id),
 q AS (SELECT id, v[1:(CASE WHEN v[1] < 1e-8 THEN 0 ELSE len(v) END)] AS v FROM k)
 SELECT id, round(v[len(v) // 2 + 1], 6) AS "Median", round(v[1], 6) AS "Min", round(v[len(v)], 6) AS "Max", round(list_avg(v), 6) AS "Mean" FROM q""",
-    "nearest_seed": f"WITH {_SLICE},\n{_SEEDS},\nti AS (SELECT tree_id AS id, x, y, z FROM t),\n{_pairs('ti', 's', 1.0005)}\nSELECT l_id, r_id, round(sqrt(d2), 6) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY l_id ORDER BY d2, r_id) AS r FROM pairs) WHERE r = 1",
-    "point_in_disc": f"WITH {_SLICE},\n{_SEEDS}\nSELECT s.id, min(t.tree_id) AS circle FROM s JOIN t ON s.x BETWEEN t.x - t.radius - 0.1 AND t.x + t.radius + 0.1 AND (s.x - t.x) * (s.x - t.x) + (s.y - t.y) * (s.y - t.y) <= (t.radius + 0.0755::DOUBLE) * (t.radius + 0.0755::DOUBLE) GROUP BY s.id",
-    "tree_ids_from_map": f"WITH {_SLICE},\n{_SEEDS},\nti AS (SELECT tree_id AS id, x, y, z FROM t),\n{_pairs('s', 'ti', 2.5005, 2)}\nSELECT s.id, coalesce(min(r_id), 0) AS tree_id FROM s LEFT JOIN pairs ON s.id = l_id GROUP BY s.id",
-    "graph_edges": f"WITH {_SLICE},\n{_pairs('s', 's', LONGEST)},\n{_KNN_EDGES}\nSELECT src, dst, round(w, 6) AS w FROM un",
-    "graph_degree": f"WITH {_SLICE},\n{_pairs('s', 's', LONGEST)},\n{_KNN_EDGES}\nSELECT src AS node, count(*) AS degree FROM un GROUP BY src",
-    "connected_points": f"""WITH RECURSIVE {_SLICE},
-{_pairs('s', 's', LONGEST)},
+    "nearest_seed": f"""WITH {_SLICE},\n{_SEEDS}
+SELECT l_id, m.r_id AS r_id, round(sqrt(m.d2), 6) AS dist FROM (SELECT t.tree_id AS l_id, min({{'d2': (s.x - t.x) * (s.x - t.x) + (s.y - t.y) * (s.y - t.y) + (s.z - t.z) * (s.z - t.z), 'r_id': s.id}}) AS m FROM t, s GROUP BY t.tree_id)""",
+    "point_in_disc": f"WITH {_CLOUD},\n{_SEEDS}\nSELECT s.id, min(t.tree_id) AS circle FROM u s JOIN t ON s.x BETWEEN t.x - t.radius - 0.1 AND t.x + t.radius + 0.1 AND (s.x - t.x) * (s.x - t.x) + (s.y - t.y) * (s.y - t.y) <= (t.radius + 0.0755::DOUBLE) * (t.radius + 0.0755::DOUBLE) GROUP BY s.id",
+    "tree_ids_from_map": f"WITH {_CLOUD},\n{_SEEDS},\nti AS (SELECT tree_id AS id, x, y, z FROM t),\n{_pairs('u', 'ti', 2.5005, 2)}\nSELECT s.id, coalesce(min(r_id), 0) AS tree_id FROM u s LEFT JOIN pairs ON s.id = l_id GROUP BY s.id",
+    "graph_edges": f"WITH {_CLOUD},\n{_pairs('u', 'u', LONGEST)},\n{_KNN_EDGES}\nSELECT src, dst, round(w, 6) AS w FROM un",
+    "graph_degree": f"WITH {_CLOUD},\n{_pairs('u', 'u', LONGEST)},\n{_KNN_EDGES}\nSELECT src AS node, count(*) AS degree FROM un GROUP BY src",
+    "connected_points": f"""WITH RECURSIVE {_CLOUD},
+{_pairs('u', 'u', LONGEST)},
 l AS MATERIALIZED (SELECT l_id AS a, r_id AS b FROM pairs WHERE l_id <> r_id),
-reach(a, b) AS (SELECT id, id FROM s UNION SELECT r.a, l.b FROM reach r JOIN l ON r.b = l.a)
-SELECT b AS node, min(a) AS component FROM reach GROUP BY b""",
+best(node, component) USING KEY (node) AS (SELECT id, id FROM u
+  UNION SELECT l.b, min(b.component) FROM best b JOIN l ON b.node = l.a JOIN recurring.best o ON o.node = l.b WHERE b.component < o.component GROUP BY l.b)
+SELECT node, component FROM best""",
     "metabolic_scale": f"WITH {_SEEDS}\nSELECT tree_id, round(1 / pow(2 * radius, 0.125::DOUBLE), 6) AS scale, round(radius / 2 + sqrt(radius), 6) AS own FROM t",
     "circle_algebraic": f"""WITH {_STEMS},
 m AS (SELECT tree_id, avg(x) AS mx, avg(y) AS my FROM st GROUP BY tree_id),
@@ -568,11 +553,11 @@ m AS (SELECT min(v) AS lo, max(v) AS hi FROM v),
 b AS (SELECT id, CAST(greatest(1, least(256, ceil((v - lo) / (hi - lo) * 256))) AS INT) AS bin, v FROM v, m)
 SELECT id, """ + ", ".join(f"CASE WHEN v IS NULL THEN 0 ELSE {_ramp_sql(i)}[bin] END AS \"{'RGB'[i]}\"" for i in range(3)) + " FROM b",
     "color_raster": f"WITH {_CLOUD},\n{_HABITAT}\nSELECT id, " + ", ".join(f'CAST(trunc(coalesce(h.value, 0) / {k}) AS INT) AS "{n}"' for k, n in ((1, "R"), (2, "G"), (4, "B"))) + " FROM u LEFT JOIN h ON CAST(floor(y / 10) AS INT) = row_ AND CAST(floor(x / 10) AS INT) = col_",
-    "pcv": f"""WITH {_SLICE},
-{_pairs('s', 's', LARGE)},
+    "pcv": f"""WITH {_CLOUD},
+{_pairs('u', 'u', 1.0005)},
 g AS (SELECT *, sqrt(dx * dx + dy * dy) AS h FROM pairs WHERE l_id <> r_id),
 a AS (SELECT l_id AS id, {_PCV} FROM g WHERE h >= 1e-10 GROUP BY l_id)
-SELECT s.id, round(CASE WHEN a.id IS NULL THEN pi() / 2 ELSE ({' + '.join(f'coalesce(pi() / 2 - a{i}, pi() / 2)' for i in range(8))}) / 8 END, 6) AS value FROM s LEFT JOIN a USING (id)""",
+SELECT s.id, round(CASE WHEN a.id IS NULL THEN pi() / 2 ELSE ({' + '.join(f'coalesce(pi() / 2 - a{i}, pi() / 2)' for i in range(DIRECTIONS))}) / {DIRECTIONS} END, 6) AS value FROM u s LEFT JOIN a USING (id)""",
     "depth_map": f"WITH {_CLOUD},\nlow AS (SELECT min(x) AS x0, min(y) AS y0 FROM u)\nSELECT CAST(floor((x - x0) / 2) AS BIGINT) AS gx, CAST(floor((y - y0) / 2) AS BIGINT) AS gy, min(z) AS depth FROM u, low GROUP BY 1, 2",
     "tile_bounds": f"WITH {_CLOUD}\nSELECT min(x) - 1 AS xmin, min(y) - 1 AS ymin, max(x) + 1 AS xmax, max(y) + 1 AS ymax FROM u",
     "pixel_counts": f"WITH {_STEMS},\nlow AS (SELECT tree_id, min(x) AS x0, min(y) AS y0 FROM st GROUP BY tree_id)\nSELECT tree_id, CAST(floor((x - x0) / 0.05::DOUBLE) AS INT) AS px, CAST(floor((y - y0) / 0.05::DOUBLE) AS INT) AS py, count(*) AS n FROM st JOIN low USING (tree_id) GROUP BY 1, 2, 3",
@@ -586,9 +571,11 @@ mx AS (SELECT tree_id, max(n) AS most FROM pc GROUP BY tree_id)
 SELECT tree_id, step, px + i AS px, py + j AS py, count(*) AS votes FROM pc JOIN mx USING (tree_id), ({_RINGS}) o(step, i, j) WHERE n >= greatest(1, ceil(most * 0.1::DOUBLE)) GROUP BY 1, 2, 3, 4"""
 SQL["hough_centre"] = f"SELECT tree_id, step, px, py, votes FROM (SELECT *, row_number() OVER (PARTITION BY tree_id ORDER BY votes DESC, step, py, px) AS r FROM ({SQL['hough_votes']})) WHERE r = 1"
 SQL["shortest_path_assign"] = f"""WITH RECURSIVE {_STEMS},
-{_pairs('st', 'st', 1.0005)},
+{_pairs('u', 'u', 1.0005)},
 e AS (SELECT l_id, r_id, sqrt(d2) AS w FROM (SELECT *, row_number() OVER (PARTITION BY l_id ORDER BY d2, r_id) AS r FROM pairs WHERE l_id <> r_id) WHERE r <= 8),
 un AS MATERIALIZED (SELECT src, dst, min(w) AS w FROM (SELECT l_id AS src, r_id AS dst, w FROM e UNION ALL SELECT r_id, l_id, w FROM e) GROUP BY src, dst),
-best(node, dist) USING KEY (node) AS (SELECT id, CASE WHEN id IN (SELECT min(id) FROM st GROUP BY tree_id) THEN 0::DOUBLE ELSE 1e9::DOUBLE END FROM st
-  UNION SELECT un.dst, min(b.dist + un.w) FROM best b JOIN un ON b.node = un.src JOIN recurring.best o ON o.node = un.dst WHERE b.dist < 1e9 AND b.dist + un.w < o.dist GROUP BY un.dst)
-SELECT node, CASE WHEN dist < 999 THEN round(dist, 6) END AS dist FROM best"""
+seed AS (SELECT min(id) AS node FROM st GROUP BY tree_id),
+best(node, m) USING KEY (node) AS (SELECT id, CASE WHEN id IN (SELECT node FROM seed) THEN {{'dist': 0::DOUBLE, 'seed': id}} ELSE {{'dist': 1e9::DOUBLE, 'seed': 0::BIGINT}} END FROM u
+  UNION SELECT un.dst, min({{'dist': b.m.dist + un.w, 'seed': b.m.seed}}) FROM best b JOIN un ON b.node = un.src JOIN recurring.best o ON o.node = un.dst
+    WHERE b.m.dist < 1e9 AND (b.m.dist + un.w < o.m.dist OR b.m.dist + un.w = o.m.dist AND b.m.seed < o.m.seed) GROUP BY un.dst)
+SELECT node, CASE WHEN m.dist < 999 THEN m.seed ELSE 0 END AS seed, CASE WHEN m.dist < 999 THEN round(m.dist, 6) END AS dist FROM best"""
