@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import Workspace
 from .graph import components
-from .spatial import cell, check_radius
+from .spatial import cell, check_radius, nearest
 
 #: Cell numbers are packed into one long for graph algorithms.
 _BIAS = 1 << 30
@@ -155,6 +155,15 @@ def focal_max(raster: DataFrame, radius: float) -> DataFrame:
     return raster.select("row_", "col_").join(best, ["row_", "col_"], "left")
 
 
+def distance_transform(raster: DataFrame, marked: DataFrame, work: Workspace) -> DataFrame:
+    """(row_, col_, value): the distance, in cells, of each cell of the raster from the nearest marked one; 0
+    for these. No rows if none is marked."""
+    at = lambda d: d.select(pack(F.col("row_"), F.col("col_")).alias("id"), F.col("col_").cast("double").alias("x"), F.col("row_").cast("double").alias("y"))
+    far = nearest(at(raster), at(marked), 2.0, work, 2)
+    here = raster.select("row_", "col_", pack(F.col("row_"), F.col("col_")).alias("l_id"))
+    return here.join(far, "l_id").select("row_", "col_", F.col("dist").alias("value"))
+
+
 def add_rasters(rasters: DataFrame, by: list[str]) -> DataFrame:
     """Sum per cell over layers, null as 0."""
     return rasters.groupBy(*by, "row_", "col_").agg(F.sum(F.coalesce("value", F.lit(0.0))).alias("value"))
