@@ -100,3 +100,27 @@ def test_hot_keys_give_the_same_results(spark, las):
     assert skew.highest_returns(df.limit(0), points.usable_rows).count() == 0
     with pytest.raises(ValueError):
         skew.top_per_key(df, "treeID", [F.col("Z")], 0)
+
+
+def test_large_regions_and_crowded_cells(spark, las, monkeypatch):
+    """A region 100 km wide has few copies of its edges; a crowd is salted and loses no pair."""
+    wide = [(0.0, 0.0), (100_000.0, 10.0), (100_000.0, 40_000.0), (50_000.0, 90_000.0), (0.0, 60_000.0)]
+    small = [(10.0, 10.0), (14.0, 10.0), (12.0, 15.0)]
+    rnd = random.Random(9)
+    rows = [(i, rnd.uniform(-10, 100_010), rnd.uniform(-10, 90_010), 1.0) for i in range(300)] + [(1000 + i, rnd.uniform(8, 16), rnd.uniform(8, 16), 1.0) for i in range(200)]
+    plots = spark.createDataFrame([(1, "ring", None, None, None, wide), (2, "ring", None, None, None, small), (3, "disc", 50_000.0, 40_000.0, 30_000.0, None)], "plot_id int, shape string, cx double, cy double, radius double, ring array<struct<x double, y double>>")
+    want = {(p, i) for i, x, y, _ in rows for p, ok in ((1, _inside(wide, x, y)), (2, _inside(small, x, y)), (3, (x - 50_000) ** 2 + (y - 40_000) ** 2 < 9e8)) if ok}
+    stored = []
+    put = regions.Workspace.put
+    monkeypatch.setattr(regions.Workspace, "put", lambda self, name, df: stored.append((name, put(self, name, df))) or stored[-1][1])
+    got = regions.inside_plots(points.usable_rows(las(rows)), plots).collect()
+    assert {tuple(x) for x in got} == want and len(got) == len(want)
+    assert all(df.count() < 200 for name, df in stored if name in ("edges", "tiles"))
+    crowd = [(i, rnd.randint(0, 200) / 1000, rnd.randint(0, 200) / 1000, 0.0) for i in range(400)]
+    r = 0.0505
+    near = {(a[0], b[0]) for a in crowd for b in crowd if a[0] < b[0] and sum((a[k] - b[k]) ** 2 for k in (1, 2, 3)) < r * r}
+    p = points.usable_points(las(crowd))
+    assert regions.cell_edge(p, r, 0.5) in (2 * r, 8 * r)
+    for edge in (2 * r, 8 * r):
+        got = regions.near_pairs(p, r, edge, crowd=30).collect()
+        assert {tuple(x) for x in got} == near and len(got) == len(near)

@@ -169,7 +169,7 @@ def _patch_sql() -> str:
 def tree_table(spark, sf_dir):
     """Attributes per entry of the tree table, without the volumes."""
     t = trees.tree_attributes(seeds(spark, sf_dir), cloud(spark, sf_dir))
-    return t.select("tree_id", "x", "y", "radius", "diameter", "height", _r("crown_area"), _r("crown_base_height"))
+    return t.select("tree_id", "x", "y", "radius", "diameter", "height", _r("crown_area", 7), _r("crown_base_height"))
 
 
 def nudged_seeds(spark, sf_dir):
@@ -240,7 +240,7 @@ sl AS (SELECT p.tree_id, p.x, p.lo, p.hi, max(CASE WHEN q.x < p.x THEN (p.lo - q
   min(CASE WHEN q.x < p.x THEN (p.hi - q.hi) / (p.x - q.x) END) AS h1, max(CASE WHEN q.x > p.x THEN (q.hi - p.hi) / (q.x - p.x) END) AS h2 FROM pt p JOIN pt q USING (tree_id) GROUP BY ALL),
 chain AS (SELECT tree_id, -1 AS side, x, lo AS y FROM sl WHERE l1 IS NULL OR l2 IS NULL OR l1 <= l2 UNION ALL SELECT tree_id, 1, x, hi FROM sl WHERE h1 IS NULL OR h2 IS NULL OR h1 >= h2),
 strip AS (SELECT tree_id, side * (x - lag(x) OVER w) * (y + lag(y) OVER w) / 2 AS a FROM chain WINDOW w AS (PARTITION BY tree_id, side ORDER BY x)),
-area AS (SELECT tree_id, CASE WHEN n > 2 THEN round(coalesce(a, 0) / 1e6, 6) END AS crown_area FROM (SELECT tree_id, sum(a) AS a FROM strip GROUP BY tree_id) JOIN (SELECT tree_id, count(*) AS n FROM u GROUP BY tree_id) USING (tree_id))"""
+area AS (SELECT tree_id, CASE WHEN n > 2 THEN round(coalesce(a, 0) / 1e6, 7) END AS crown_area FROM (SELECT tree_id, sum(a) AS a FROM strip GROUP BY tree_id) JOIN (SELECT tree_id, count(*) AS n FROM u GROUP BY tree_id) USING (tree_id))"""
 _SEGMENT = f"""th0 AS (SELECT *, row_number() OVER (PARTITION BY floor(x / 0.1::DOUBLE), floor(y / 0.1::DOUBLE), floor(z / 0.1::DOUBLE) ORDER BY {_hash(0, 'id')}, id) AS r FROM u),
 th AS MATERIALIZED (SELECT id, x, y, z FROM th0 WHERE r = 1 AND classification <> 2 AND z > 1.0::DOUBLE / 3),
 mid AS (SELECT avg(y) AS my FROM t),

@@ -227,7 +227,7 @@ def tree_id_mismatch(spark, sf_dir):
 
 
 def crown_area(spark, sf_dir):
-    return trees.crown_hulls(cloud(spark, sf_dir)).select("tree_id", _r("crown_area"))
+    return trees.crown_hulls(cloud(spark, sf_dir)).select("tree_id", _r("crown_area", 7))
 
 
 def tree_attributes(spark, sf_dir):
