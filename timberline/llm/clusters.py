@@ -28,6 +28,8 @@ SQUARINGS = 2
 #: Boxes per cell and axis in which points are summed up for the distance between cells.
 BOXES = 8
 MAX_LEVELS = 60
+#: Boxes shrink to an eighth at most so often: to less than the last place of a coordinate of 100 km.
+MAX_HALVINGS = 14
 
 
 def _axes(pattern: str) -> list[str]:
@@ -41,8 +43,8 @@ def cell_graph(points: DataFrame, radius: float, work: Workspace) -> tuple[DataF
 
     Points are summed up in small boxes with tight bounds. A pair of boxes is certainly similar if even
     their farthest corners are close enough - as with boxes of one point, or of equal points -, and
-    certainly not if their nearest are not; the points themselves are compared only for pairs of cells which
-    no pair of boxes decides.
+    certainly not if their nearest are not; pairs of cells which no pair of boxes decides are asked again with
+    smaller boxes, so dense neighbours at about the radius give no pairs of all their points.
     """
     edge = radius / math.sqrt(3) * (1 - 1e-9)
     fine = edge / BOXES
@@ -52,9 +54,18 @@ def cell_graph(points: DataFrame, radius: float, work: Workspace) -> tuple[DataF
     cells = p.groupBy(*cell).agg(F.min("point_id").alias("node"), F.count("*").alias("weight"))
     cells = work.put("cells", cells)
     members = work.put("members", p.join(cells.drop("weight"), cell).select("node", "point_id"))
+    r2 = F.lit(float(radius) ** 2)
+    both = [*_axes("ac{}"), *cell]
     bounds = [f(c).alias(m + c) for c in "xyz" for m, f in (("lo", F.min), ("hi", F.max))]
+    least = sum((lambda g: g * g)(F.greatest(F.lit(0.0), F.col("lo" + c) - F.col("ahi" + c), F.col("alo" + c) - F.col("hi" + c))) for c in "xyz")
+    most = sum((lambda g: g * g)(F.greatest(F.col("hi" + c) - F.col("alo" + c), F.col("ahi" + c) - F.col("lo" + c))) for c in "xyz")
+
+    def judge(pairs: DataFrame) -> DataFrame:
+        """Per pair of cells: d2, an upper bound of the least distance, and whether smaller boxes could lower it."""
+        near_boxes = pairs.withColumn("_least", least).withColumn("_most", most).where(F.col("_least") < r2)
+        return near_boxes.groupBy(*both).agg(F.min("_most").alias("d2"), F.max((F.col("_most") >= r2).cast("int")).alias("_unsure"))
+
     boxes = work.put("boxes", p.groupBy(*cell, *box).agg(*bounds, F.count("*").alias("n")))
-    r2 = F.lit(float(radius) ** 2)
     # every box meets the boxes of the cells that follow its own and reach into its surroundings
     near = [(i, j, k) for i in range(-2, 3) for j in range(-2, 3) for k in range(-2, 3) if (i, j, k) > (0, 0, 0)]
     steps = F.explode(F.array(*[F.struct(*[F.lit(v).alias("d" + c) for c, v in zip("xyz", s)]) for s in near])).alias("s")
@@ -62,21 +73,26 @@ def cell_graph(points: DataFrame, radius: float, work: Workspace) -> tuple[DataF
     a = a.select(*[c for c in a.columns if c != "s"], *[(F.col("ac" + c) + F.col("s.d" + c)).alias("c" + c) for c in "xyz"])
     gap = [F.greatest(F.lit(0.0), F.col("c" + c) * edge - F.col("ahi" + c), F.col("alo" + c) - (F.col("c" + c) + 1) * edge) for c in "xyz"]
     a = a.where(sum(g * g for g in gap) < r2)
-    pairs = a.join(boxes, cell)
-    least = sum((lambda g: g * g)(F.greatest(F.lit(0.0), F.col("lo" + c) - F.col("ahi" + c), F.col("alo" + c) - F.col("hi" + c))) for c in "xyz")
-    most = sum((lambda g: g * g)(F.greatest(F.col("hi" + c) - F.col("alo" + c), F.col("ahi" + c) - F.col("lo" + c))) for c in "xyz")
-    both = [*_axes("ac{}"), *cell]
-    judged = pairs.withColumn("_least", least).withColumn("_most", most).where(F.col("_least") < r2).groupBy(*both).agg(F.min("_most").alias("d2"), F.max((F.col("_most") >= r2).cast("int")).alias("_unsure"))
-    judged = work.put("judged", judged)
+    judged = work.put("judged", judge(a.join(boxes, cell)))
     sure = judged.where(F.col("d2") < r2).select(*both, "d2")
     open_ = judged.where((F.col("d2") >= r2) & (F.col("_unsure") == 1)).select(*both)
-    if not open_.isEmpty():
-        q = pairs.withColumn("_least", least).where(F.col("_least") < r2).select(*both, *_axes("ab{}"), *box).join(open_, both)
-        left = p.select(*[F.col("c" + c).alias("ac" + c) for c in "xyz"], *[F.col("b" + c).alias("ab" + c) for c in "xyz"], *[F.col(c).alias("p" + c) for c in "xyz"])
-        right = p.select(*cell, *box, "x", "y", "z")
-        met = q.join(left, [*_axes("ac{}"), *_axes("ab{}")]).join(right, [*cell, *box])
-        d2 = sum((F.col("p" + c) - F.col(c)) * (F.col("p" + c) - F.col(c)) for c in "xyz")
-        sure = sure.unionByName(met.select(*both, d2.alias("d2")).where(F.col("d2") < r2).groupBy(*both).agg(F.min("d2").alias("d2")))
+    # what is open is asked again with boxes of an eighth, until boxes hold one place and leave no doubt; of
+    # pairs of boxes only those that their larger boxes left in doubt are made
+    doubt, depth = a.join(boxes, cell), 0
+    while not open_.isEmpty():
+        if depth == MAX_HALVINGS:
+            raise RuntimeError("points too close to tell apart")
+        doubt = doubt.withColumn("_least", least).withColumn("_most", most).where((F.col("_least") < r2) & (F.col("_most") >= r2)).join(open_, both)
+        doubt = work.put(f"doubt-{depth}", doubt.select(*both, *_axes("ab{}"), *box).distinct())
+        fine, depth = fine / 8, depth + 1
+        small = work.put(f"small-{depth}", p.groupBy(*cell, *box, *[F.floor(F.col(c) / fine).alias("n" + c) for c in "xyz"]).agg(*bounds, F.count("*").alias("n")))
+        p = p.withColumns({"b" + c: F.floor(F.col(c) / fine) for c in "xyz"})
+        left = small.select(*[F.col(c).alias("a" + c) for c in small.columns])
+        pairs = doubt.join(left, [*_axes("ac{}"), *_axes("ab{}")]).join(small, [*cell, *box]).drop(*_axes("ab{}"), *box)
+        doubt = pairs.withColumnsRenamed({**{"an" + c: "ab" + c for c in "xyz"}, **{"n" + c: "b" + c for c in "xyz"}})
+        again = work.put(f"judged-{depth}", judge(doubt))
+        sure = sure.unionByName(again.where(F.col("d2") < r2).select(*both, "d2"))
+        open_ = again.where((F.col("d2") >= r2) & (F.col("_unsure") == 1)).select(*both)
     one = cells.select(*[F.col("c" + c).alias("ac" + c) for c in "xyz"], F.col("node").alias("a"))
     links = sure.join(one, _axes("ac{}")).join(cells.select(*cell, F.col("node").alias("b")), cell)
     links = links.select("a", "b", (1.05 - F.sqrt("d2") / float(radius)).alias("w"))
@@ -124,8 +140,10 @@ def cluster(points: DataFrame, radius: float, work: Workspace, inflation: float
         flow = markov_flow(linked, links, work, inflation)
         # the attractor of each column, the smaller one on ties
         pick = work.put("pick", flow.groupBy("col").agg(F.max_by("row", F.struct("v", -F.col("row"))).alias("to")))
-        if pick.where(F.col("col") != F.col("to")).isEmpty():
-            # every node attracts itself most: it follows its strongest link instead
+        sizes = pick.agg(F.count("*").alias("all"), F.countDistinct("to").alias("left")).first()
+        if sizes["left"] == sizes["all"]:
+            # the level would leave as many nodes, each drawn to itself or changed for another: they follow
+            # their strongest links instead, of which the strongest of all joins two
             best = links.groupBy(F.col("a").alias("col")).agg(F.max_by("b", F.struct("w", -F.col("b"))).alias("to"))
             pick = work.put("pick", best.select("col", F.least("col", "to").alias("to")))
         weight = linked.withColumnsRenamed({"node": "col", "weight": "n"})

@@ -15,7 +15,7 @@ from ..operators.points import is_number, usable_points
 from ..runtime import Workspace, broadcast_if_small
 
 #: Values in a block, on average; also the number of candidates of a target that one row may gather at the end.
-BLOCK_VALUES = 8192
+BLOCK_VALUES = 1024
 #: Lists of large groups and of open targets are broadcast up to this many rows of some 100 bytes.
 MAX_BROADCAST_ROWS = 100_000
 
@@ -117,6 +117,25 @@ def tree_percentiles(las: DataFrame, percentiles: list[float], by_day: bool = Fa
     return select_percentiles(blocks, by, percentiles, work, block_values, rank_error)
 
 
+def combine_blocks(parts: list[DataFrame]) -> DataFrame:
+    """The block table of all parts, such as stored tables of separate days or scans; blocks need no merging."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def percentiles_from_parts(las: DataFrame, percentiles: list[float], parts: int = 4, block_values: int = BLOCK_VALUES) -> DataFrame:
+    """(treeID, measure, n, p, value): block tables are made and stored for each of ``parts`` groups of scans
+    by themselves, and the percentiles of all of them come from the stored tables alone."""
+    work = Workspace(las.sparkSession, "parts")
+    by = ["treeID", "measure"]
+    # a point delivered again carries its scan, so no point is in two parts; null scans are a part of the first
+    which = F.coalesce(F.pmod(F.xxhash64("scan_id"), F.lit(parts)), F.lit(0))
+    stored = [work.put(f"blocks-{i}", make_blocks(tree_measures(las.where(which == i)), by, "v", ["point_id"], None, block_values)) for i in range(parts)]
+    return select_percentiles(combine_blocks(stored), by, percentiles, work, block_values)
+
+
 def striking_trees(las: DataFrame, block_values: int = BLOCK_VALUES) -> DataFrame:
     """(treeID, measure): ``verticality`` with a median of at least 0.70, ``Z`` with a 95 % percentile at
     least 12 m above the median, each over at least 30 values. Null treeIDs, null and NaN values and

@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.points import usable_points
-from ..runtime import broadcast_if_small, pick
+from ..runtime import Workspace, broadcast_if_small, pick
 
 #: Positions are compared as whole multiples of this many metres.
 UNIT = 1e-6
 MAX_BROADCAST_ROWS = 200_000
+#: Pieces are numbered in stretches of an item of so many halves of the limit.
+STRETCH_PIECES = 1_000
 
 
 def scan_positions(las: DataFrame, scans: DataFrame) -> DataFrame:
@@ -30,17 +32,19 @@ def scan_positions(las: DataFrame, scans: DataFrame) -> DataFrame:
     return points.join(broadcast_if_small(axis, MAX_BROADCAST_ROWS), "item").select("item", F.round(along / UNIT).cast("long").alias("pos"), F.col("point_id").alias("id"))
 
 
-def ranges_of(rows: DataFrame, limit: int, gap: float, range_length: float) -> DataFrame:
+def ranges_of(rows: DataFrame, limit: int, gap: float, range_length: float, work: Workspace | None = None) -> DataFrame:
     """One row per distinct position of each item with more than ``limit`` rows:
     (item, range, pos, n, id, before, before_id, offset, segment).
 
     ``id`` is the smallest at the position, ``before`` the position before it in the whole item, ``offset``
-    the number of rows before it, ``segment`` the number of natural boundaries up to it.
+    the number of rows before it, ``segment`` the number of natural boundaries up to it. The positions are
+    counted and stored once, so the rows are read once.
     """
+    work = work or Workspace(rows.sparkSession, "split")
     step, wide = round(gap / UNIT), round(range_length / UNIT)
-    big = rows.groupBy("item").agg(F.count("*").alias("_n")).where(F.col("_n") > limit).select("item")
-    rows = rows.join(broadcast_if_small(big, MAX_BROADCAST_ROWS), "item", "left_semi")
-    places = rows.groupBy("item", F.floor(F.col("pos") / wide).alias("range"), "pos").agg(F.count("*").alias("n"), F.min("id").alias("id"))
+    places = work.put("places", rows.groupBy("item", F.floor(F.col("pos") / wide).alias("range"), "pos").agg(F.count("*").alias("n"), F.min("id").alias("id")))
+    big = work.put("big", places.groupBy("item").agg(F.sum("n").alias("_n")).where(F.col("_n") > limit).select("item"))
+    places = places.join(broadcast_if_small(big, MAX_BROADCAST_ROWS), "item", "left_semi")
     w = Window.partitionBy("item", "range").orderBy("pos")
     places = places.withColumn("_p", F.lag("pos").over(w)).withColumn("_i", F.lag("id").over(w)).withColumn("_sum", F.sum("n").over(w) - F.col("n"))
     places = places.withColumn("_cuts", F.sum((F.col("pos") - F.col("_p") >= step).cast("int")).over(w))
@@ -78,14 +82,16 @@ def cut_pieces(rows: DataFrame, limit: int = 400, gap: float = 1.0, overlap: flo
     if limit < 4 or not 0 <= overlap <= min(gap, range_length):
         raise ValueError("need limit >= 4 and 0 <= overlap <= gap, range_length")
     reach, wide, half = round(overlap / UNIT), round(range_length / UNIT), limit // 2
-    r = ranges_of(rows, limit, gap, range_length)
+    work = Workspace(rows.sparkSession, "pieces")
+    r = work.put("ranges", ranges_of(rows, limit, gap, range_length, work))
     # halo: the first positions of a range also stand at the end of the range before it
     halo = r.where(F.pmod("pos", F.lit(wide)) <= reach).withColumn("range", F.col("range") - 1).withColumn("core", F.lit(False))
     w = Window.partitionBy("item", "range", "segment").orderBy("pos")
     ahead = r.withColumn("core", F.lit(True)).unionByName(halo).withColumn("ahead", F.sum("n").over(w.rangeBetween(0, reach)) - F.col("n")).where("core")
+    ahead = work.put("ahead", ahead)
     segments = ahead.groupBy("item", "segment").agg(F.min("offset").alias("start"), F.sum("n").alias("size"), F.max(F.col("ahead") + F.col("n") - 1).alias("most"))
     step = F.when(F.col("most") <= limit - limit // 4, limit - F.col("most")).otherwise(half)
-    segments = segments.withColumn("step", F.when(F.col("size") > limit, step))
+    segments = work.put("segments", segments.withColumn("step", F.when(F.col("size") > limit, step)))
     small = segments.where(F.col("size") <= half).groupBy("item", F.floor(F.col("start") / half).alias("_bin")).agg(F.min("start").alias("first"), F.sum("size").alias("n_core")).drop("_bin")
     alone = segments.where((F.col("size") > half) & F.col("step").isNull()).select("item", F.col("start").alias("first"), F.col("size").alias("n_core"))
     cut = ahead.join(segments.where(F.col("step").isNotNull()).drop("most"), ["item", "segment"]).withColumn("rel", F.col("offset") - F.col("start"))
@@ -98,9 +104,12 @@ def cut_pieces(rows: DataFrame, limit: int = 400, gap: float = 1.0, overlap: flo
     rest = segments.where(F.col("step").isNotNull() & (F.col("size") % F.col("step") > 0)).select("item", (F.col("start") + F.col("size") - F.col("size") % F.col("step")).alias("first"), (F.col("size") % F.col("step")).alias("n_core"))
     zero = F.lit(0).cast("long").alias("n_shared")
     plain = small.select("item", "first", "n_core", zero).unionByName(alone.select("item", "first", "n_core", zero)).unionByName(rest.select("item", "first", "n_core", zero))
-    pieces = full.unionByName(plain)
-    order = Window.partitionBy("item").orderBy("first")
-    return pieces.select("item", F.row_number().over(order).cast("long").alias("piece"), "first", "n_core", (F.col("n_core") + F.col("n_shared")).alias("n_points"))
+    # numbers by prefix sums over stretches of the item, as the offsets are
+    pieces = work.put("cut", full.unionByName(plain).withColumn("_stretch", F.floor(F.col("first") / (STRETCH_PIECES * half))))
+    before = pieces.groupBy("item", "_stretch").agg(F.count("*").alias("_n"))
+    before = before.select("item", "_stretch", (F.sum("_n").over(Window.partitionBy("item").orderBy("_stretch")) - F.col("_n")).alias("_skip"))
+    number = F.col("_skip") + F.row_number().over(Window.partitionBy("item", "_stretch").orderBy("first"))
+    return pieces.join(before, ["item", "_stretch"]).select("item", number.cast("long").alias("piece"), "first", "n_core", (F.col("n_core") + F.col("n_shared")).alias("n_points"))
 
 
 def piece_members(rows: DataFrame, pieces: DataFrame, limit: int = 400, gap: float = 1.0, range_length: float = 32.0) -> DataFrame:
