@@ -18,6 +18,14 @@ def spark():
     return s
 
 
+@pytest.fixture(autouse=True)
+def _workspaces():
+    yield
+    from timberline.runtime import close_workspaces
+
+    close_workspaces()
+
+
 @pytest.fixture()
 def las(spark):
     """Makes a cloud table from rows (point_id, x, y, z) with optional columns."""

@@ -284,6 +284,13 @@ def test_colours(spark):
         ramp(["nocolour"])
 
 
+def test_colours_of_rasters(spark, capsys):
+    df = cloud(spark, [(0.5, 0.5, 0), (1.5, 0.5, 0), (9, 9, 0)])
+    red, green = (spark.createDataFrame(r, "row_ int, col_ int, value double") for r in ([(0, 0, 0.5), (0, 1, 1.0)], [(0, 0, 0.2), (0, 1, None)]))
+    got = {r.id: (r.R, r.G, r.B) for r in color.colorize(df, "rgb", rasters=(red, green, green), crs=(tables.CloudMeta(1), tables.CloudMeta(2))).collect()}
+    assert got == {0: (127, 51, 51), 1: (255, 0, 0), 2: (0, 0, 0)} and "differ" in capsys.readouterr().out
+
+
 def test_sky_and_screen(spark):
     flat = cloud(spark, [(i * 0.2, j * 0.2, 0.0) for i in range(4) for j in range(4)])
     assert all(abs(r.value - math.pi / 2) < 1e-12 for r in color.sky_visibility(flat, 0.5, 12).collect())
@@ -346,6 +353,8 @@ def test_las_files(spark, tmp_path):
     las_file.write_las(f"{tmp_path}/b.las", x[:10], y[:10], z[:10])
     df = las_file.read_las(spark, str(tmp_path), records_per_task=1000).orderBy("point_id").toPandas()
     assert len(df) == 2510 and list(df.point_id) == list(range(2510)) and np.allclose(df.X[:2500], x) and set(df.Classification[:2500]) == {5}
+    shared = las_file.read_las(spark, f"file://{tmp_path}", records_per_task=1000)
+    assert shared.count() == 2510 and las_file.read_las(spark, f"file://{tmp_path}/b.las").count() == 10
     (tmp_path / "bad.las").write_bytes(b"nothing")
     with pytest.raises(Exception):
         las_file.read_las(spark, f"{tmp_path}/bad.las").count()

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.palette import ramp
+from ..sources.tables import same_crs
 from .sampling import hash01
 from .spatial import cell, check_radius, radius_pairs
 
@@ -88,8 +89,9 @@ def screen_occlusion(points: DataFrame, pixel: float = 0.1, kernel: int = 5, sam
     return points.select("id").join(shade, "id", "left").select("id", (1 - F.least(F.lit(1.0), F.coalesce("o", F.lit(0.0)))).alias("value"))
 
 
-def colorize(points: DataFrame, method: str = "attr", attribute: str | None = None, palette: list[str] | None = None, rasters: tuple | None = None, res: float = 1.0, radius: float = 1.0, directions: int = 60, kernel: int = 5, pixel: float = 0.1, samples: int = 16) -> DataFrame:
-    """(id, R, G, B) by one of METHODS. ``points`` has id, x, y, z and the attribute."""
+def colorize(points: DataFrame, method: str = "attr", attribute: str | None = None, palette: list[str] | None = None, rasters: tuple | None = None, res: float = 1.0, radius: float = 1.0, directions: int = 60, kernel: int = 5, pixel: float = 0.1, samples: int = 16, crs: tuple | None = None) -> DataFrame:
+    """(id, R, G, B) by one of METHODS. ``points`` has id, x, y, z and the attribute. ``crs`` are the
+    descriptions of the cloud and of the rasters; a warning is given if their coordinate systems differ."""
     method = method.lower()
     if method not in METHODS:
         raise ValueError(f"method must be one of {', '.join(METHODS)}")
@@ -102,6 +104,8 @@ def colorize(points: DataFrame, method: str = "attr", attribute: str | None = No
     if method == "rgb":
         if rasters is None or len(rasters) != 3:
             raise ValueError("raster_path must be provided: one raster for red, green and blue each")
+        if crs is not None:
+            same_crs(*crs)
         return by_raster(points, *rasters, res)
     if method == "pcv":
         return by_value(sky_visibility(points, radius, directions), palette)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import Workspace
@@ -93,24 +93,37 @@ def disc_offsets(radius: float, closed: bool = True) -> list[tuple[int, int]]:
     return [(i, j) for i in range(-n, n + 1) for j in range(-n, n + 1) if inside(i * i + j * j)]
 
 
+def disc_runs(radius: float, closed: bool = True) -> list[tuple[int, int]]:
+    """(i, w): the rows of a disc and how far each reaches to either side."""
+    rows: dict[int, int] = {}
+    for i, j in disc_offsets(radius, closed):
+        rows[i] = max(rows.get(i, 0), j)
+    return sorted(rows.items())
+
+
 def dilate(cells: DataFrame, radius: float, closed: bool = True, by: tuple[str, ...] = ()) -> DataFrame:
     """(by..., row_, col_): cells at most (closed) or less than (open) ``radius`` cells from the given ones.
 
-    Only cells at the border of the set spread, as from an inner cell the way outwards passes a nearer one.
+    Only cells at the border of the set spread, as from an inner cell the way outwards passes a nearer one. A
+    cell spreads as one run per row of its disc; runs of a row are joined before they become cells again, so
+    the rows in between grow with the radius and not with its square.
     """
     c = cells.select(*by, "row_", "col_").distinct()
-    reach = disc_offsets(radius, closed)
+    reach = disc_runs(radius, closed)
     if not reach:
         return c.limit(0)
-    if len(reach) <= 5:
-        rim = c
-    else:
-        four = F.explode(F.array(*[F.struct(F.lit(i).alias("r"), F.lit(j).alias("c")) for i, j in ((0, 1), (1, 0), (0, -1), (-1, 0))])).alias("s")
-        n = c.select(*by, "row_", "col_", four).select(*by, (F.col("row_") + F.col("s.r")).alias("row_"), (F.col("col_") + F.col("s.c")).alias("col_")).groupBy(*by, "row_", "col_").agg(F.count("*").alias("_n"))
-        rim = c.join(n.where("_n = 4"), [*by, "row_", "col_"], "left_anti")
-    offsets = F.explode(F.array(*[F.struct(F.lit(i).alias("r"), F.lit(j).alias("c")) for i, j in reach])).alias("s")
-    spread = rim.select(*by, "row_", "col_", offsets).select(*by, (F.col("row_") + F.col("s.r")).cast("int").alias("row_"), (F.col("col_") + F.col("s.c")).cast("int").alias("col_"))
-    return spread.unionByName(c.select(*by, F.col("row_").cast("int").alias("row_"), F.col("col_").cast("int").alias("col_"))).distinct()
+    four = F.explode(F.array(*[F.struct(F.lit(i).alias("r"), F.lit(j).alias("c")) for i, j in ((0, 1), (1, 0), (0, -1), (-1, 0))])).alias("s")
+    n = c.select(*by, "row_", "col_", four).select(*by, (F.col("row_") + F.col("s.r")).alias("row_"), (F.col("col_") + F.col("s.c")).alias("col_")).groupBy(*by, "row_", "col_").agg(F.count("*").alias("_n"))
+    rim = c.join(n.where("_n = 4"), [*by, "row_", "col_"], "left_anti")
+    runs = F.explode(F.array(*[F.struct(F.lit(i).alias("r"), F.lit(w).alias("w")) for i, w in reach])).alias("s")
+    spread = rim.select(*by, "row_", "col_", runs).select(*by, (F.col("row_") + F.col("s.r")).cast("int").alias("row_"), (F.col("col_") - F.col("s.w")).alias("_lo"), (F.col("col_") + F.col("s.w")).alias("_hi"))
+    spread = spread.groupBy(*by, "row_", "_lo").agg(F.max("_hi").alias("_hi"))
+    w = Window.partitionBy(*by, "row_").orderBy("_lo")
+    before = F.max("_hi").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    spread = spread.withColumn("_new", F.coalesce((F.col("_lo") > before + 1).cast("int"), F.lit(1))).withColumn("_run", F.sum("_new").over(w))
+    joined = spread.groupBy(*by, "row_", "_run").agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+    around = joined.select(*by, "row_", F.explode(F.sequence("_lo", "_hi")).alias("col_")).withColumn("col_", F.col("col_").cast("int"))
+    return around.unionByName(c.select(*by, F.col("row_").cast("int").alias("row_"), F.col("col_").cast("int").alias("col_"))).distinct()
 
 
 def close_cells(labels: DataFrame, out: float, back: float) -> DataFrame:

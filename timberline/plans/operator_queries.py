@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.palette import NAMED, PALETTE, ramp, rgb
+from ..functions.palette import PALETTE, rgb
 from ..operators import eigen, fits, graph, grid, hough, patches, sampling, trees
 from ..runtime import Workspace, table
 from ..sources.tables import las_to_xyz as to_xyz
@@ -176,6 +176,12 @@ def nudged_seeds(spark, sf_dir):
     return trees.nudge_seeds(seeds(spark, sf_dir), 0.15).select("tree_id", "x", _r("y"))
 
 
+def segment_snapped(spark, sf_dir):
+    """Every point with the tree of the nearest thinned point, by unscaled distances."""
+    s = trees.segment_points(cloud(spark, sf_dir), seeds(spark, sf_dir), Workspace(spark, "segment"), longest=LONGEST, dense=True)
+    return s.select("id", "x", "y", "z", "tree_id", _r("nnd"))
+
+
 def seeds_in_graph(spark, sf_dir):
     """Which trees' lowest points are vertices of the graph of stem neighbours, and which stand alone."""
     work = Workspace(spark, "vertices")
@@ -258,7 +264,7 @@ claim AS (SELECT seed, min(tree_id) AS tree_id FROM hit JOIN lab ON lab.id = hit
 
 QUERIES = {f.__name__: f for f in (
     eigen_metrics, upright, crop_square, crop_outside, las_to_xyz, palette_colours, raster_classes, raster_window, distance_transform, patch_layer, label_overlap,
-    tree_table, nudged_seeds, seeds_in_graph, circle_landau, centre_votes, centre_groups,
+    tree_table, nudged_seeds, segment_snapped, seeds_in_graph, circle_landau, centre_votes, centre_groups,
 )}
 
 _TREE_COLUMNS = base.SQL["crown_base_height"].split("q AS (", 1)[1].split("\nSELECT q.tree_id", 1)[0]
@@ -329,6 +335,12 @@ m AS (SELECT (min(x) + max(x)) / 2 AS mx, (min(y) + max(y)) / 2 AS my, (min(z) +
 f AS (SELECT CAST(fr AS INT) AS frame, fr * {2 * 3.141592653589793 * 5 / 60 / 10!r}::DOUBLE AS a, x - mx AS x, y - my AS y, z - mz AS z, k FROM u, m, range(120) r(fr))
 SELECT frame, count(*) AS n, round(min((x * cos(a) - y * sin(a)) * k + 400), 4) AS u_min, round(max((x * cos(a) - y * sin(a)) * k + 400), 4) AS u_max, round(min(300 - z * k), 4) AS v_min, round(max(x * sin(a) + y * cos(a)), 4) AS depth_max FROM f GROUP BY frame""",
     "segment_points": f"WITH RECURSIVE {_CLOUD},\n{_SEEDS},\n{_SEGMENT}\nSELECT id, x, y, z, CAST(CASE WHEN lab.seed = 0 THEN 0 ELSE claim.tree_id END AS INT) AS tree_id FROM lab LEFT JOIN claim USING (seed)",
+    "segment_snapped": f"""WITH RECURSIVE {_CLOUD},\n{_SEEDS},\n{_SEGMENT},
+nm AS MATERIALIZED (SELECT id, x, y, z, CASE WHEN lab.seed = 0 THEN 0 ELSE claim.tree_id END AS tree_id FROM lab LEFT JOIN claim USING (seed)),
+cp AS (SELECT nm.*, floor(x / 0.125) + i AS cx, floor(y / 0.125) + j AS cy FROM nm, range(-1, 2) a(i), range(-1, 2) b(j)),
+sn AS (SELECT u.id, min({{'d2': (c.x - u.x) * (c.x - u.x) + (c.y - u.y) * (c.y - u.y) + (c.z - u.z) * (c.z - u.z), 'id': c.id, 'tree_id': c.tree_id}}) AS m FROM u JOIN cp c ON floor(u.x / 0.125) = c.cx AND floor(u.y / 0.125) = c.cy
+  WHERE (c.x - u.x) * (c.x - u.x) + (c.y - u.y) * (c.y - u.y) + (c.z - u.z) * (c.z - u.z) <= 0.125::DOUBLE * 0.125::DOUBLE GROUP BY u.id)
+SELECT u.id, u.x, u.y, u.z, CAST(CASE WHEN sn.m IS NULL OR coalesce(u.classification, 0) = 2 AND sn.m.tree_id IS NOT NULL THEN 0 ELSE sn.m.tree_id END AS INT) AS tree_id, round(sqrt(sn.m.d2), 6) AS nnd FROM u LEFT JOIN sn USING (id)""",
     "color_attr": f"""WITH {_CLOUD},
 v AS (SELECT id, CASE WHEN NOT isnan(verticality) THEN verticality END AS v FROM u),
 m AS (SELECT min(v) AS lo, max(v) AS hi FROM v),
@@ -338,4 +350,4 @@ w AS (SELECT id, v, least(1, floor(bin * 2 / 255)) AS k, bin * 2 / 255 - least(1
 SELECT id, """ + ", ".join(f"CASE WHEN v IS NULL THEN 0 ELSE CAST(floor(a.{c} + (b.{c} - a.{c}) * part + 0.5) AS INT) END AS \"{n}\"" for n, c in (("R", "r"), ("G", "g"), ("B", "bl"))) + " FROM w LEFT JOIN stop a ON a.k = w.k LEFT JOIN stop b ON b.k = w.k + 1",
 }
 
-__all__ = ["NAMED", "QUERIES", "SQL", "ramp"]
+__all__ = ["QUERIES", "SQL"]

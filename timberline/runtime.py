@@ -53,22 +53,26 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def _cleanup() -> None:
-    for spark, path in _FOLDERS:
+def close_workspaces() -> None:
+    """Delete the tables of all workspaces so far, once their results are written; results not yet computed
+    that read them can't be computed any more. Happens at exit by itself."""
+    while _FOLDERS:
+        spark, path = _FOLDERS.pop()
         try:
             drop_path(spark, path)
         except Exception:  # the session may be gone already
             pass
 
 
-atexit.register(_cleanup)
+atexit.register(close_workspaces)
 
 
 class Workspace:
     """Intermediate tables of one run of an iterative operator, written as Parquet to the shared folder.
 
     Writing a table and reading it back cuts the lineage with copies that survive the loss of executors.
-    ``put(name, df)`` writes a version, ``drop(name)`` deletes its versions; what remains goes at exit.
+    ``put(name, df)`` writes a version and deletes the one before, ``drop(name)`` deletes all; what remains
+    goes with ``close_workspaces`` or at exit.
     """
 
     def __init__(self, spark: SparkSession, label: str):
@@ -97,9 +101,6 @@ class Workspace:
             for p in self.versions.pop(name, []):
                 drop_path(self.spark, p)
 
-    def close(self) -> None:
-        drop_path(self.spark, self.root)
-
 
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """Mark ``df`` for a broadcast only when a count proves that it has at most ``max_rows`` rows."""

@@ -1,7 +1,8 @@
 """Point clouds in uncompressed LAS files (public layout, versions 1.2 to 1.4), read in parallel ranges.
 
 ``spark.dataSource.register(LasSource)`` then ``spark.read.format("las").load(path)``, or ``read_las``.
-Each task reads one range of records, so a file of any size is never loaded whole.
+Each task reads one range of records, so a file of any size is never loaded whole. Paths are local to all
+workers or URIs of a shared file system.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
@@ -24,8 +26,31 @@ _GPS = {0: -1, 1: 20, 2: -1, 3: 20, 6: 22, 7: 22, 8: 22}
 _RGB = {0: -1, 1: -1, 2: 20, 3: 28, 6: -1, 7: 30, 8: 30}
 
 
+def _open(path: str):
+    """A file to seek in: of a local path, or of any URI that Arrow has a file system for."""
+    if "://" not in path:
+        return open(path, "rb")
+    system, inner = fs.FileSystem.from_uri(path)
+    return system.open_input_file(inner)
+
+
+def find_files(path: str) -> list[str]:
+    """The .las files of a folder, of a pattern (local only), or the file itself, in order of name."""
+    if "://" not in path:
+        return sorted(str(p) for p in Path(path).rglob("*.las")) if Path(path).is_dir() else sorted(glob(path))
+    system, inner = fs.FileSystem.from_uri(path)
+    info = system.get_file_info(inner)
+    if info.type == fs.FileType.Directory:
+        found = [f.path for f in system.get_file_info(fs.FileSelector(inner, recursive=True)) if f.type == fs.FileType.File and f.path.lower().endswith(".las")]
+    else:
+        found = [inner] if info.type == fs.FileType.File else []
+    # paths inside the file system get back what the URI had in front of them
+    head = path[: path.rstrip("/").rindex(inner.rstrip("/"))] if inner.rstrip("/") in path else path.split("://")[0] + "://"
+    return sorted(head + f for f in found)
+
+
 def read_header(path: str) -> dict:
-    with open(path, "rb") as f:
+    with _open(path) as f:
         h = f.read(375)
     if h[:4] != b"LASF":
         raise ValueError(f"{path} is no LAS file")
@@ -64,7 +89,7 @@ class _Range(InputPartition):
 
 class _Reader(DataSourceReader):
     def __init__(self, path: str, per_task: int):
-        self.files = sorted(str(p) for p in Path(path).rglob("*.las")) if Path(path).is_dir() else sorted(glob(path))
+        self.files = find_files(path)
         if not self.files:
             raise ValueError(f"no LAS file at {path}")
         self.per_task = per_task
@@ -79,7 +104,7 @@ class _Reader(DataSourceReader):
 
     def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
         head = read_header(partition.path)
-        with open(partition.path, "rb") as f:
+        with _open(partition.path) as f:
             f.seek(head["offset"] + partition.first * head["size"])
             left, at = partition.count, partition.id_from
             while left > 0:
