@@ -135,7 +135,13 @@ def _draws(size: int, total: int, rounds: int, n: int, rng: np.random.Generator)
         return np.arange(rounds * n).reshape(rounds, n)
     if size <= 4 * n:
         return np.argsort(rng.random((rounds, size)), axis=1)[:, :n]
-    return np.stack([rng.choice(size, n, replace=False) for _ in range(rounds)])
+    d = rng.integers(0, size, (rounds, n))
+    while True:  # subsets that hold a place twice are drawn again
+        s = np.sort(d, axis=1)
+        twice = (s[:, 1:] == s[:, :-1]).any(1)
+        if not twice.any():
+            return d
+        d[twice] = rng.integers(0, size, (int(twice.sum()), n))
 
 
 def nelder_mead_many(f, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -353,7 +353,7 @@ def normal_votes(spark, sf_dir):
 
 def _segments(spark, sf_dir):
     """Points of all trees in segments of half a metre, with the radius that the layers voted for."""
-    layers = stem_layers(spark, sf_dir).select("tree_id", F.col("layer").alias("segment"), F.col("radius").alias("hough_radius"))
+    layers = Workspace(spark, "layers").put("layers", stem_layers(spark, sf_dir)).select("tree_id", F.col("layer").alias("segment"), F.col("radius").alias("hough_radius"))
     p = sampling.slices(stems(spark, sf_dir), 0.5, 0.0).withColumnRenamed("slice", "segment")
     return p.join(layers, ["tree_id", "segment"]).select("tree_id", "segment", "hough_radius", "id", "x", "y", "z")
 
@@ -401,7 +401,7 @@ crop_disc recentred slices pixel_metrics neighborhood_covariance eigen_density e
 point_in_disc tree_ids_from_map graph_edges graph_degree connected_points shortest_path_assign metabolic_scale circle_algebraic circle_landau circle_irls circle_ransac knn_distance_statistics
 tree_height crown_base_height tree_id_mismatch crown_area tree_attributes raster_reclass focal_max patchmorph sum_by_suitability
 connected_cells polygon_area filled_holes closed_cells zonal_stats extract_cells color_attr color_raster pcv ssao depth_map
-hough_votes hough_centre hough_centres disc_groups tree_map normal_votes stem_fits crown_volume segment_dense tile_bounds stem_layers pixel_counts locate_trees segment_points rotation""".split()
+hough_votes hough_centre hough_centres disc_groups tree_map normal_votes stem_fits stem_circles crown_volume segment_dense tile_bounds stem_layers pixel_counts locate_trees segment_points rotation""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 QUERIES |= {f"blend_{m}": _blend(m) for m in color.BLENDS}
 QUERIES |= {"cylinder_ransac": _cylinders("ransac", n=10), "cylinder_irls": _cylinders("irls"), "cylinder_nm": _cylinders("nm"), "cylinder_bf": _cylinders("bf")}
