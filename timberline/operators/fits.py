@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import spread
 from .points import is_number
 from .sampling import hash01
 
@@ -332,7 +333,7 @@ def fit_circles(points: DataFrame, key: str, method: str = "irls", n: int = 5, i
             out = [[k[0], *map(float, p)]]
         return pd.DataFrame(out, columns=[key, "cx", "cy", "radius", "err"])
 
-    return rows.groupBy(key).applyInPandas(run, f"`{key}` {kind}, cx double, cy double, radius double, err double")
+    return spread(rows, key).groupBy(key).applyInPandas(run, f"`{key}` {kind}, cx double, cy double, radius double, err double")
 
 
 def bounded_sample(points: DataFrame, key: list[str], size: int, seed: int = 0) -> DataFrame:
@@ -378,10 +379,10 @@ def fit_groups(points: DataFrame, key: str, method: str = "ransac", n: int = 5,
     if method == "bf":
         # tilts about x go to tasks of their own
         tilts = sample.withColumn("_ax", F.explode(F.sequence(F.lit(-max_angle), F.lit(max_angle))))
-        each = tilts.groupBy(key, "_ax").applyInPandas(run, schema).where(~F.isnan("err"))
+        each = spread(tilts, key, "_ax").groupBy(key, "_ax").applyInPandas(run, schema).where(~F.isnan("err"))
         best = each.groupBy(key).agg(F.min(F.struct("err", "ax", "ay", "x", "y", "radius")).alias("m"))
         return best.select(key, *[F.col("m." + c).alias(c) for c in TILTED])
-    fit = sample.groupBy(key).applyInPandas(run, schema)
+    fit = spread(sample, key).groupBy(key).applyInPandas(run, schema)
     box = rows.groupBy(key).agg(*[((F.min(c) + F.max(c)) / 2).alias("p" + c) for c in "xyz"])
     return fit.join(box, key)
 
@@ -433,4 +434,4 @@ def landau_groups(points: DataFrame, key: str) -> DataFrame:
         f = f.sort_values("id")
         return pd.DataFrame([[k[0], *landau_circle(f["x"].to_numpy(), f["y"].to_numpy())]], columns=[key, "cx", "cy", "r"])
 
-    return points.select(key, "id", "x", "y").groupBy(key).applyInPandas(run, f"`{key}` {kind}, cx double, cy double, r double")
+    return spread(points.select(key, "id", "x", "y"), key).groupBy(key).applyInPandas(run, f"`{key}` {kind}, cx double, cy double, r double")

@@ -102,6 +102,12 @@ class Workspace:
                 drop_path(self.spark, p)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Partitioned by the keys into as many parts as shuffles have, also where the rows are few: for groups
+    that cost much more than their rows weigh, which adaptive coalescing would put into one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """Mark ``df`` for a broadcast only when a count proves that it has at most ``max_rows`` rows."""
     if df.limit(max_rows + 1).count() <= max_rows:
