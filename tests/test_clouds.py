@@ -6,13 +6,14 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from timberline.functions.formulas import formula_column
 from timberline.functions.palette import PALETTE, ramp, rgb
 from timberline.operators import color, eigen, fits, graph, grid, hough, patches, sampling, spatial, trees
-from timberline.plans import reference_queries
+from timberline.plans import operator_queries, reference_queries
 from timberline.runtime import Workspace
 from timberline.sources import las_file, tables
 
@@ -76,6 +77,30 @@ def test_metrics_against_numpy(spark):
         assert abs(row.PCA1 - w[0] / w.sum()) < 1e-9 and abs(row.VolumeDensity - len(q) / (4 / 3 * math.pi * 0.4**3)) < 1e-6
 
 
+def test_solver_against_numpy():
+    g = np.random.default_rng(8)
+    a = g.normal(size=(3000, 3, 3)) * 10.0 ** g.uniform(-6, 2, (3000, 1, 3))
+    c = a @ a.transpose(0, 2, 1)
+    c[:100, 2], c[:100, :, 2], c[100:200], c[200:300] = 0, 0, np.eye(3), 0
+    solve = lambda c: eigen._solver().func(*(pd.Series(c[:, i, j]) for i in range(3) for j in range(i, 3)))[eigen.EIGEN].to_numpy()
+    m = solve(c)
+    w, v = m[:, :3], m[:, 3:].reshape(-1, 3, 3).transpose(0, 2, 1)
+    size = np.abs(c).max((1, 2))[:, None, None] + 1e-300
+    assert (np.abs(w - np.linalg.eigvalsh(c)[:, ::-1]) <= 1e-14 * size[:, 0]).all() and np.allclose(v.transpose(0, 2, 1) @ v, np.eye(3), atol=1e-13)
+    assert (np.abs((v * w[:, None]) @ v.transpose(0, 2, 1) - c) <= 1e-14 * size).all() and all((solve(c[i : i + 1]) == m[i]).all() for i in (0, 150, 250, 2000))
+
+
+def test_thin_neighbourhoods(spark, las, tmp_path):
+    """Two points above each other and one aside span an upright plane: its normal is level, so y tells its sign.
+    The sum 0.0911415 of four points rounds up. Both hold in whatever order the neighbours are summed."""
+    rows = [(1, 508.64, 1906.136, 5.538), (2, 508.979, 1906.319, 5.815), (3, 508.64, 1906.136, 5.545), (4, 0.0, 0.0, 0.0), (5, -0.273, -0.051, 0.216), (6, -0.273, -0.051, 0.222)]
+    rows += [(7, 223.835, 908.773, 8.993), (8, 223.804, 908.769, 8.401), (9, 223.851, 908.771, 8.196), (10, 223.842, 908.781, 8.696)]
+    las(rows).write.parquet(str(tmp_path / "las.parquet"))
+    m = {r.id: r for r in operator_queries.QUERIES["eigen_metrics"](spark, str(tmp_path)).collect()}
+    assert [(m[i].NumNeighbors, m[i].Nx, m[i].Ny, abs(m[i].Nz)) for i in (1, 2, 3)] == [(3, -0.475028, 0.879971, 0)] * 3
+    assert all(m[i].NumNeighbors == 3 and m[i].Ny > 0 and m[i].Nz == 0 for i in (4, 5, 6)) and m[10].NumNeighbors == 4 and m[10].eSum == 0.091142
+
+
 @pytest.mark.parametrize("radius", [0, -1, "a", True])
 def test_radius_is_checked(spark, radius):
     with pytest.raises(ValueError, match="radius must be positive"):
