@@ -561,6 +561,17 @@ def test_tilts_are_found(spark):
     assert abs(b.radius - 0.2) < 0.02 and b.err < 0.002 and (abs(b.ax) > 2 or abs(b.ay) > 2)
 
 
+def test_cylinders_use_all_points(spark):
+    """Groups of more than a hundred points: the fit of all of them, beside the fits of other groups."""
+    a, b = cylinder(0.15, 1.5, 400, 0.005, 456), cylinder(0.3, 2, 90, 0.005, 7, 5, 5)
+    df = cloud(spark, np.concatenate([a, b]), tree=[1] * 400 + [2] * 90)
+    for method, fit in (("irls", fits.fit_irls), ("nm", fits.fit_nm)):
+        got = {r.tree: r for r in fits.fit_groups(df, "tree", method).collect()}
+        for t, p in ((1, a), (2, b)):
+            q, e = fit(p)
+            assert abs(got[t].radius - q[4]) < 1e-4 and abs(got[t].err / e - 1) < 0.05, method
+
+
 def _discs_in_order(rows, reach, least):
     """The rule in plain words: strongest first; whoever is free becomes a head and takes all free ones near."""
     tree = {}
