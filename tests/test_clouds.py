@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -572,6 +573,36 @@ def test_cylinders_use_all_points(spark):
             assert abs(got[t].radius - q[4]) < 1e-4 and abs(got[t].err / e - 1) < 0.05, method
 
 
+def _cost(f):
+    start = time.process_time()
+    got = f()
+    return got, time.process_time() - start
+
+
+def test_cylinders_side_by_side():
+    """Fits of many clouds cost a part of as many single ones and don't depend on what stands beside them."""
+    g = np.random.default_rng(1)
+    clouds = [cylinder(g.uniform(0.1, 0.4), 1.5, int(g.integers(8, 60)), 0.005, i, i) for i in range(150)]
+    (p, e), spent = _cost(lambda: fits.fit_cylinders(clouds, True))
+    few, alone = _cost(lambda: [fits.fit_irls(c) for c in clouds[:10]])
+    assert spent / 150 < alone / 10 / 2
+    assert all(abs(q[4] - p[i, 4]) < 1e-3 and abs(v - e[i]) < 1e-5 for i, (q, v) in enumerate(few))
+    q, v = fits.fit_cylinders(clouds[40:43], True)
+    assert np.array_equal(q, p[40:43]) and np.array_equal(v, e[40:43])
+    large = cylinder(0.2, 2.0, fits.ALONE, 0.004, 3)
+    p, e = fits.fit_cylinders([large, large[:-1]], True)
+    assert np.allclose(p[:, 4], 0.2, atol=0.002) and abs(e[0] / e[1] - 1) < 0.01
+
+
+@pytest.mark.parametrize("rows", [1, 7, 1000])
+def test_groups_stay_whole(monkeypatch, rows):
+    """Groups that reach over the frames of a task, however many rows are joined."""
+    monkeypatch.setattr(fits, "STACK_ROWS", rows)
+    t = pd.DataFrame({"k": ["a"] * 3 + ["b"] * 30 + ["c"] + ["d"] * 4, "v": range(38)})
+    got = list(fits._whole_groups((t.iloc[i : i + 5] for i in range(0, 38, 5)), "k"))
+    assert list(pd.concat(got)["v"]) == list(range(38)) and sum(f["k"].nunique() for f in got) == 4
+
+
 def _discs_in_order(rows, reach, least):
     """The rule in plain words: strongest first; whoever is free becomes a head and takes all free ones near."""
     tree = {}
