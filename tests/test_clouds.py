@@ -603,6 +603,19 @@ def test_groups_stay_whole(monkeypatch, rows):
     assert list(pd.concat(got)["v"]) == list(range(38)) and sum(f["k"].nunique() for f in got) == 4
 
 
+def test_subsets_of_many_groups_at_once():
+    p = cylinder(0.2, 2.0, 300, 0.004, 5)
+    g = np.random.default_rng(2)
+    subsets = np.array([p[g.permutation(300)[:10]] for _ in range(1400)])
+    (q, e), spent = _cost(lambda: fits.fit_many(subsets))
+    few, parts = _cost(lambda: [fits.fit_many(subsets[i : i + 35]) for i in range(0, 140, 35)])
+    assert spent / 40 < parts / 4 / 2  # 40 groups at once cost less than half of as many by themselves
+    assert np.array_equal(np.concatenate([f[1] for f in few]), e[:140])
+    # a different order of additions may lead a simplex elsewhere, yet not in many cases
+    assert sum(abs(fits.fit_nm(subsets[i])[1] - e[i]) < 1e-6 for i in range(20)) >= 14
+    assert all(abs((fits.cylinder_residuals(q[i], fits._centred(subsets[i])) ** 2).sum() - e[i]) < 1e-9 for i in np.flatnonzero(np.isfinite(e)))
+
+
 def _discs_in_order(rows, reach, least):
     """The rule in plain words: strongest first; whoever is free becomes a head and takes all free ones near."""
     tree = {}
