@@ -616,6 +616,16 @@ def test_subsets_of_many_groups_at_once():
     assert all(abs((fits.cylinder_residuals(q[i], fits._centred(subsets[i])) ** 2).sum() - e[i]) < 1e-9 for i in np.flatnonzero(np.isfinite(e)))
 
 
+def test_circles_side_by_side():
+    g = np.random.default_rng(4)
+    clouds = [cylinder(g.uniform(0.1, 0.4), 1.5, int(g.integers(4, 60)), 0.005, i, i % 7, 3)[:, :2] for i in range(150)]
+    starts = np.array([fits._circle_start(c[:, 0], c[:, 1]) for c in clouds])
+    (p, e), spent = _cost(lambda: fits.minimise_many(fits._circle_planes, clouds, starts, True))
+    few, alone = _cost(lambda: [fits.circle_irls(c[:, 0], c[:, 1]) for c in clouds[:15]])
+    assert spent / 150 < alone / 15 / 2
+    assert all(np.allclose(q, p[i], atol=1e-3) and abs(v - e[i]) < 1e-5 for i, (q, v) in enumerate(few))
+
+
 def _discs_in_order(rows, reach, least):
     """The rule in plain words: strongest first; whoever is free becomes a head and takes all free ones near."""
     tree = {}
