@@ -626,6 +626,25 @@ def test_circles_side_by_side():
     assert all(np.allclose(q, p[i], atol=1e-3) and abs(v - e[i]) < 1e-5 for i, (q, v) in enumerate(few))
 
 
+def test_tilts_together():
+    """All tilts about y at once: subsets of distinct points, the circles of one tilt at a time, at a part of the cost."""
+    d = fits._distinct(6, 5, 3000, np.random.default_rng(0))
+    assert all(len(set(c)) == 5 for c in d.T.tolist()) and np.bincount(d.ravel()).min() > 2300
+    p, ays, k = cylinder(0.2, 2.0, 60, 0.01, 5), np.arange(-30, 31), fits._rounds(25, 5, 0.9, 0.95)
+    got, spent = _cost(lambda: [fits.tilted_circles(p, 4, ays, 5, 0.9, 0.95, 20, np.random.default_rng(7)) for _ in range(5)][0])
+    d, want = fits._distinct(60, 5, k * 61, np.random.default_rng(7)), []
+    for j, ay in enumerate(ays):
+        t, s = p @ fits.rotation(4, ay), d[:, j * k : (j + 1) * k].T
+        c = fits.circles_ls(t[:, 0][s], t[:, 1][s])
+        c[:, 3] = np.sqrt(c[:, 3] / 60)
+        c = c[np.isfinite(c).all(1)]
+        c = c[np.argsort(c[:, 3], kind="stable")][:22]
+        want.append([*(fits.upper_median(c[:, i]) for i in range(4)), 4, ay])
+    assert np.allclose(got, min(want, key=lambda w: w[3]))
+    _, alone = _cost(lambda: [fits.ransac_circle(t[:, 0], t[:, 1], 5, 0.9, 0.95, 20, np.random.default_rng(j)) for j in range(61)])
+    assert spent / 5 < alone
+
+
 def _discs_in_order(rows, reach, least):
     """The rule in plain words: strongest first; whoever is free becomes a head and takes all free ones near."""
     tree = {}
